@@ -1,11 +1,66 @@
-"""Corpus pipeline over `documents`; stages are added as their operators arrive."""
+"""Corpus pipeline: language ID, near-duplicates, decontamination, pseudonyms, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+run() writes each stage's rows to the shared folder as Parquet and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from prodlens.llm import contamination, language_id, mixing, near_dup, pseudonyms
+from prodlens.llm.queries import PSEUDONYM_KEY
+from prodlens.llm.scratch import Scratch
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose ids are in verdicts (doc_id). A null id stays."""
+    return docs.filter("doc_id is null").unionAll(docs.join(verdicts, "doc_id", "left_semi").select(docs.columns))
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those that language ID finds to be in none go."""
+    found = language_id.identified(docs, language_id.fit(docs))
+    return found.filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id."""
+    return _kept(docs, near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _kept(docs, contamination.contamination(docs, benchmark).filter("not contaminated").select("doc_id"))
+
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced."""
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the rate and the number of copies at which all sources weigh the same."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("near_dedup", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("pseudonyms", with_pseudonyms),
+    ("mixing", to_weights),
+]
+
+#: SQL cannot express the learned and iterated stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = scratch.keep(stage(spark, docs, sf_dir))
     return docs
