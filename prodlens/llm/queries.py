@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, hnsw, language_id, mixing, near_dup, pseudonyms, quality, token_count, warc
+from . import contamination, hnsw, hpylm, language_id, mixing, near_dup, pseudonyms, quality, token_count, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scores(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents")).drop("text")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
+    "op7_lm_scores": op7_lm_scores,
     "op8_mixing": op8_mixing,
     "op9_warc_archives": op9_warc_archives,
     "op10_decontamination": op10_decontamination,
