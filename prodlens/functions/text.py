@@ -104,7 +104,7 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 def is_relevant(description: Column, title: Column) -> Column:
     """At least 30 % of the title's words occur in the description; true where there is nothing to check."""
-    words = F.array_except(F.regexp_extract_all(F.lower(title), F.lit(r"\b([a-z]{3,})\b"), 1), literals(fixed.RELEVANCE_STOP_WORDS))
+    words = F.array_except(F.regexp_extract_all(F.lower(title), F.lit(r"(?U)\b([a-z]{3,})\b"), 1), literals(fixed.RELEVANCE_STOP_WORDS))
     found = F.size(F.filter(words, lambda w: F.contains(F.lower(description), w)))
     empty = (F.coalesce(description, F.lit("")) == "") | (F.coalesce(title, F.lit("")) == "")
     return F.when(empty, True).when(F.size(words) == 0, True).otherwise(found / F.size(words) >= 0.3)

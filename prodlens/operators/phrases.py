@@ -118,11 +118,10 @@ def merged_variants(phrases: DataFrame) -> DataFrame:
 
 def with_importance(phrases: DataFrame) -> DataFrame:
     """Importance 0 to 100 from shares of the maxima of document frequency, score and occurrences; more in both sources."""
-    most = phrases.agg(*(F.coalesce(F.nullif(F.max(c).cast("double"), F.lit(0.0)), F.lit(1.0)).alias(f"max_{c}") for c in ("doc_freq", "tfidf_score", "total_occurrences")))
-    share = 0.4 * F.col("doc_freq") / F.col("max_doc_freq") + 0.35 * F.col("tfidf_score") / F.col("max_tfidf_score") + 0.25 * F.col("total_occurrences") / F.col("max_total_occurrences")
-    score = F.least(F.lit(100.0), share * F.when(F.col("source") == "both", 1.15).otherwise(1.0) * 100)
-    # one row is broadcast
-    return phrases.join(F.broadcast(most)).withColumn("importance_score", F.round(score, 4)).drop("max_doc_freq", "max_tfidf_score", "max_total_occurrences")
+    top = Window.partitionBy()  # over a merged top list, whose length the two top_n bound
+    share = lambda c: F.col(c) / F.coalesce(F.nullif(F.max(c).over(top).cast("double"), F.lit(0.0)), F.lit(1.0))
+    score = (0.4 * share("doc_freq") + 0.35 * share("tfidf_score") + 0.25 * share("total_occurrences")) * F.when(F.col("source") == "both", 1.15).otherwise(1.0) * 100
+    return phrases.withColumn("importance_score", F.round(F.least(F.lit(100.0), score), 4))
 
 
 def ranked(phrases: DataFrame, top_n: int | None = None) -> DataFrame:
