@@ -54,7 +54,8 @@ def tfidf(docs: DataFrame, top_n: int | None = 200, min_df: int = 2, max_df: flo
     scored = tf.select("phrase", "df", (weight / norm).alias("w")).groupBy("phrase").agg(F.first("df").alias("doc_freq"), F.round(F.sum("w"), 4).alias("tfidf_score"))
     best = scored.filter(~_is_generic(F.col("phrase"))).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase")
     if top_n is not None:
-        best = best.limit(top_n)
+        # The list is short by definition; as a local table it is computed once, though both joins below read it.
+        best = docs.sparkSession.createDataFrame(best.limit(top_n).collect(), best.schema)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase")))
     if not occurrences:
         return best.select("phrase", "tfidf_score", "doc_freq", "rank")
