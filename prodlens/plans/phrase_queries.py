@@ -72,7 +72,7 @@ DEFINED = {
     "select_keywords": (lambda s, d: P.selected_keywords(_important(s, d)), f"with {S.merged()}, t as (select * from important order by importance_score desc, tfidf_score desc, phrase limit 8) select lower(phrase) as keyword, max(importance_score) as importance_score from t group by 1"),
     "edge_stop_words": (
         lambda s, d: table(s, d, "part").select("p_partkey", T.edge_trimmed(F.concat(F.lit("  The new great "), F.col("p_name"), F.lit(", the best!"))).alias("phrase")),
-        "select p_partkey, lower(p_name) as phrase from part",
+        f"select p_partkey, regexp_replace(lower(p_name), '^(?:(?:{'|'.join(fixed.EDGE_WORDS)}) )+', '') || ',' as phrase from part",
     ),
     "export_csv_rows": (
         lambda s, d: P.ranked(_important(s, d), 200).select(F.col("phrase").alias("Phrase"), F.round("importance_score", 2).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source")),

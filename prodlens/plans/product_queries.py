@@ -32,8 +32,9 @@ def _matches(patterns: list[str], unit: str | None, kind: str, most: int) -> str
     parts = []
     for i, p in enumerate(patterns):
         name = f"v || {unit}" if unit else "upper(m)"
-        fields = f"unnest(regexp_extract_all(t, {S.q(f'({p})')}, 1)) as m, unnest(regexp_extract_all(t, {S.q(f'({p})')}, 2)) as v" + (f", unnest(regexp_extract_all(t, {S.q(f'({p})')}, 3)) as u" if unit else "")
-        parts.append(f"select p_partkey, {i} as k, row_number() over (partition by p_partkey) as o, m, {name} as name from (select p_partkey, {fields} from {SPEC})")
+        fields = ", ".join(f"regexp_extract_all(t, {S.q(f'({p})')}, {g}) as {n}s" for g, n in ((1, "m"), (2, "v"), *([(3, "u")] if unit else [])))
+        at = "ms[o] as m, vs[o] as v" + (", us[o] as u" if unit else "")
+        parts.append(f"select p_partkey, {i} as k, o, m, {name} as name from (select p_partkey, o, {at} from (select *, unnest(range(1, len(ms) + 1)) as o from (select p_partkey, {fields} from {SPEC})))")
     return f"""with a as ({" union all ".join(parts)}),
       f as (select p_partkey, name, arg_min(m, (k, o)) as evidence, min((k, o)) as ko from a group by p_partkey, name),
       r as (select p_partkey, (row_number() over (partition by p_partkey order by ko) - 1)::int as pos, name, {kind} as entity_type, evidence from f)
