@@ -33,7 +33,7 @@ from .words import NOT_SPACE, U64, buffers, mix, pieces, words
 #: Contexts of their own (OTHER: all others together, START: the start of a text).
 CONTEXTS, OTHER, START = 254, 254, 255
 #: Words with at least one in so many of all training tokens are scored where the texts are read.
-FREQUENT = 32_768
+FREQUENT = 8_192
 BUCKET_TOKENS = 6_000_000
 #: Distinct pairs that a task gathers before it sends them on.
 GATHERED = 3_000_000
