@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
+from .layout import spread
 
 
 def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """Cleaned documents, those without text left out."""
-    return df.select(F.col(id_col).alias("doc_id"), T.cleaned(F.col(text_col), brands).alias("text")).filter("text <> ''")
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.select("doc_id", T.cleaned(F.col("text"), brands).alias("text")).filter("text <> ''")
 
 
 def _is_generic(phrase: Column) -> Column:
