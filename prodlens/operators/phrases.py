@@ -13,7 +13,9 @@ from .layout import spread
 def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """Cleaned documents, those without text left out."""
     rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.select("doc_id", T.cleaned(F.col("text"), brands).alias("text")).filter("text <> ''")
+    # A filter on the cleaned text would move below spread(), clean there in few tasks, and clean again above it.
+    some = F.filter(F.array(T.cleaned(F.col("text"), brands)), lambda t: t != "")
+    return rows.select("doc_id", F.explode(some).alias("text"))
 
 
 def _is_generic(phrase: Column) -> Column:
