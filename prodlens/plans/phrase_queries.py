@@ -75,7 +75,7 @@ DEFINED = {
         f"select p_partkey, regexp_replace(lower(p_name), '^(?:(?:{'|'.join(fixed.EDGE_WORDS)}) )+', '') || ',' as phrase from part",
     ),
     "export_csv_rows": (
-        lambda s, d: P.ranked(_important(s, d), 200).select(F.col("phrase").alias("Phrase"), F.round("importance_score", 2).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source")),
+        lambda s, d: P.ranked(_important(s, d), 200).select(F.col("phrase").alias("Phrase"), (F.round(F.col("importance_score") * 100) / 100).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source")),
         f"with {S.merged()} select phrase as \"Phrase\", round(importance_score, 2) as \"Importance\", round(tfidf_score, 4) as \"TFIDF\", doc_freq as \"DocFreq\", total_occurrences as \"Occurrences\", source as \"Source\" from important order by importance_score desc, key limit 200",
     ),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def phrase_rows(phrases: DataFrame) -> DataFrame:
-    return phrases.select(F.col("phrase").alias("Phrase"), F.round("importance_score", 2).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source"))
+    return phrases.select(F.col("phrase").alias("Phrase"), (F.round(F.col("importance_score") * 100) / 100).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source"))
 
 
 def write_csv(phrases: DataFrame, path: str) -> None:
