@@ -1,19 +1,20 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-Each context has a restaurant: the words frequent enough to be one of 254 contexts (at least 1/254 of all training
-tokens each, so no more can be), the start of a text, and all other words together. All context restaurants share
-one parent, the unigram restaurant, whose base spreads half of its mass over the known words and gives half to the
-unknown word. A customer is a token; each table of a context restaurant sends one customer to the parent.
+Each context has a restaurant: every word that comes before another one in training, and the start of a text. All context
+restaurants share one parent, the unigram restaurant, whose base spreads half of its mass over the known words and gives half
+to the unknown word. A customer is a token; each table of a context restaurant sends one customer to the parent.
 
 Seating is sampled by Gibbs in blocks: the number of tables of a dish in a restaurant is drawn given everything
 else. Up to 64 customers the draw is exact (generalised Stirling numbers); more are seated one after the other by the
 restaurant's conditional probabilities, a stretch of customers at a time. Words are dealt to buckets by their
-hashes. All counts of a word lie in its bucket, so a sweep needs from elsewhere only the restaurants' totals,
-about 500 numbers, which are renewed between rounds. Table counts are averaged over the last sweeps, and the
-averaged restaurants give predictive probabilities that sum to one.
-
-Scores of frequent words are added up where the texts are read; the others' occurrences go to their word's bucket.
-A word is told from others by its bucket and 48 bits of its hash.
+hashes. All counts of a word lie in its bucket, so a sweep needs from elsewhere only the totals of the restaurants in which its
+words sit. Contexts are dealt to buckets of their own, which add these totals up and send each word bucket those that it asks
+for, between rounds. Table counts are averaged over the last sweeps, and the averaged restaurants give predictive probabilities
+that sum to one.
+
+The logarithm of a pair that was not seen is the sum of its context's back-off and of its word's parent probability. So scores
+are sums of what three tables say: seen pairs, dealt by a hash of both words, and, for what is not found there, words and
+contexts. Frequent pairs are added up where the texts are read; frequent words and contexts where a pair is not found.
 """
 
 from __future__ import annotations
@@ -30,18 +31,15 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 from .words import NOT_SPACE, U64, buffers, mix, pieces, words
 
-#: Contexts of their own (OTHER: all others together, START: the start of a text).
-CONTEXTS, OTHER, START = 254, 254, 255
-#: Words with at least one in so many of all training tokens are scored where the texts are read.
+#: Pairs, words and contexts with at least one in so many of all training tokens are scored without a shuffle.
 FREQUENT = 8_192
-BUCKET_TOKENS = 6_000_000
+BUCKET_TOKENS, TOKEN_BYTES = 1_500_000, 6
 #: Distinct pairs that a task gathers before it sends them on.
-GATHERED = 3_000_000
+GATHERED = 300_000
 EXACT = 64
 FIRST_SWEEPS, BURN_IN, SAMPLES = 2, 2, 4
 STRENGTH, UNKNOWN = 1.0, 0.5
-END = mix(np.array([0x0123456789ABCDEF], U64))[0]
-LOW48 = U64((1 << 48) - 1)
+END, START = mix(np.array([0x0123456789ABCDEF, 0x76543210FEDCBA98], U64))
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +54,7 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
     """Ascending keys as differences, then the values, byte plane by byte plane, compressed."""
-    planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
     body = planes(np.diff(keys, prepend=U64(0))) + b"".join(planes(v) for v in values)
     return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + body)
 
@@ -83,22 +81,35 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield lo, hi, np.insert(hashed, where, END), np.insert(doc, where, np.arange(hi - lo))
 
 
-def context_of(hashed: np.ndarray, doc: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Each token's context: the number of the word before it. contexts: hashes in order."""
-    number = np.full(len(hashed), OTHER, np.uint64)
-    if len(contexts):
-        i = np.minimum(np.searchsorted(contexts, hashed), len(contexts) - 1)
-        same = contexts[i] == hashed
-        number[same] = i[same]
-    out = np.empty(len(hashed), np.uint64)
-    out[1:] = number[:-1]
+def context_of(hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each token's context: the hash of the word before it, or START."""
+    out = np.empty(len(hashed), U64)
+    out[1:] = hashed[:-1]
     out[np.flatnonzero(np.diff(doc, prepend=-1))] = START
     return out
 
 
-def place(hashed: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, and key within it: 48 bits of the word's hash and 8 of the context."""
-    return ((hashed >> U64(48)) % U64(buckets)).astype(np.int64), (hashed & LOW48) << U64(8) | context
+def pair_of(hashed: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(hashed ^ mix(context + U64(0x9E3779B97F4A7C15)))
+
+
+def place(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashed >> U64(40)) % U64(buckets)).astype(np.int64)
+
+
+def dealt(bucket: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by bucket and key, and each bucket's range in it."""
+    order = np.lexsort((keys, bucket))
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key is in the ascending keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return i, keys[i] == asked
 
 
 # ---- seating
@@ -139,7 +150,7 @@ def drawn_tables(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Genera
 
 @dataclass
 class Totals:
-    """What restaurants hold altogether: customers and tables of each context, and of the parent."""
+    """What restaurants hold altogether: customers and tables of each context (in a bucket, of its own contexts), and of the parent."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -148,6 +159,7 @@ class Totals:
     known: float  # distinct words
     discount: float = 0.7
     parent_discount: float = 0.7
+    tokens: int = 0
 
     def new(self) -> np.ndarray:
         """Each context's weight of a new table."""
@@ -173,21 +185,30 @@ class Totals:
 
 
 class Bucket:
-    """Pairs of one bucket's words and contexts in order: keys, customers, tables; and the words' tables in the parent."""
+    """Pairs of one bucket's words and contexts in order of the words: customers and tables; and the words' tables in the parent.
 
-    def __init__(self, keys: np.ndarray, c: np.ndarray, t: np.ndarray | None = None, tables0: np.ndarray | None = None):
-        self.keys, self.c = keys, c.astype(np.int64)
-        self.context = (keys & U64(255)).astype(np.int64)
-        word = keys >> U64(8)
+    With contexts (hashes in order), keys are the words' hashes and context the numbers of each pair's context among them; without,
+    the low 8 bits of keys number the context and the others the word.
+    """
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray, t: np.ndarray | None = None, tables0: np.ndarray | None = None, context: np.ndarray | None = None, contexts: np.ndarray | None = None):
+        self.c = c.astype(np.int64)
+        self.context = (keys & U64(255)).astype(np.int64) if context is None else context.astype(np.int64)
+        self.contexts = np.arange(256, dtype=U64) if contexts is None else contexts
+        word = keys >> U64(8) if context is None else keys
         self.first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(keys) else np.zeros(0, np.int64)
         self.words = word[self.first]
-        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
+        self.sizes = np.diff(np.append(self.first, len(keys)))
+        self.of = np.repeat(np.arange(len(self.first)), self.sizes)
         self.t = np.ones(len(keys)) if t is None else t.astype(float)
         self.t0 = np.ones(len(self.first)) if tables0 is None else tables0.astype(float)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
 
+    def in_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, len(self.contexts))
+
     def sweep(self, totals: Totals, rng: np.random.Generator) -> None:
         parent = totals.parent(self.sums(self.t), self.t0)
         more = np.flatnonzero(self.c > 1)  # one customer has one table
@@ -211,34 +232,33 @@ class Bucket:
             self.t, self.t0 = t / samples, t0 / samples
 
     def row(self, bucket: int) -> pa.Table:
-        m, in_context = self.sums(self.t), lambda x: np.bincount(self.context, x, 256)
+        m = self.sums(self.t)
         return pa.table({
             "bucket": pa.array([bucket], pa.int32()),
-            "pairs": pa.array([pack(self.keys, self.c.astype(np.uint32), self.t.astype(np.float32))], pa.binary()),
-            "words": pa.array([pack(self.words, self.t0.astype(np.float32))], pa.binary()),
-            "customers": pa.array([in_context(self.c)], pa.list_(pa.float64())),
-            "tables": pa.array([in_context(self.t)], pa.list_(pa.float64())),
-            "parent": pa.array([[m.sum(), self.t0.sum(), len(self.words), (self.c == 1).sum(), (self.c == 2).sum(), (np.rint(m) == 1).sum(), (np.rint(m) == 2).sum()]], pa.list_(pa.float64())),
+            "pairs": pa.array([pack(self.context.astype(U64), self.c.astype(np.uint32), self.t.astype(np.float32))], pa.binary()),
+            "words": pa.array([pack(self.words, self.sizes.astype(np.uint32), self.t0.astype(np.float32))], pa.binary()),
+            "contexts": pa.array([pack(self.contexts)], pa.binary()),
+            "parent": pa.array([[m.sum(), self.t0.sum(), len(self.words), (self.c == 1).sum(), (self.c == 2).sum(), (np.rint(m) == 1).sum(), (np.rint(m) == 2).sum(), self.c.sum()]], pa.list_(pa.float64())),
         })
 
     @classmethod
     def of_row(cls, row: dict) -> Bucket:
-        keys, c, t = unpack(row["pairs"], np.uint32, np.float32)
-        return cls(keys, c, t, unpack(row["words"], np.float32)[1])
+        context, c, t = unpack(row["pairs"], np.uint32, np.float32)
+        word, sizes, t0 = unpack(row["words"], np.uint32, np.float32)
+        return cls(np.repeat(word, sizes), c, t, t0, context, unpack(row["contexts"])[0])
 
 
-STATE = "bucket int, pairs binary, words binary, customers array<double>, tables array<double>, parent array<double>"
+STATE = "bucket int, pairs binary, words binary, contexts binary, parent array<double>"
+TABLE = "bucket int, home int, data binary"
 
 
 def totals_of(state: DataFrame, estimate: Totals | None = None) -> Totals:
-    """The totals of all buckets; discounts from how many dishes have one and two customers, or those of `estimate`."""
-    sums = lambda c: {r.pos: r.s for r in state.select(F.posexplode(c)).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
-    customers, tables, parent = sums("customers"), sums("tables"), sums("parent")
-    array = lambda x, n: np.array([x.get(i, 0.0) for i in range(n)])
-    p = array(parent, 7)
+    """The parent's totals (the contexts' are left empty); discounts from how many dishes have one and two customers, or those of `estimate`."""
+    sums = {r.pos: r.s for r in state.select(F.posexplode("parent")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
+    p = np.array([sums.get(i, 0.0) for i in range(8)])
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1.0), 0.1, 0.95))
     d, d0 = (discount(p[3], p[4]), discount(p[5], p[6])) if estimate is None else (estimate.discount, estimate.parent_discount)
-    return Totals(array(customers, 256), array(tables, 256), float(p[0]), float(p[1]), float(p[2]), d, d0)
+    return Totals(np.zeros(0), np.zeros(0), float(p[0]), float(p[1]), float(p[2]), d, d0, int(p[7]))
 
 
 # ---- passes over the texts
@@ -248,216 +268,249 @@ def _is_held_out(id_col: str, folds: int, held: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held
 
 
-def frequent_words(train: DataFrame, scratch: Scratch) -> tuple[list[tuple[int, int]], int]:
-    """(hash, count) of words with at least one in FREQUENT of all tokens, and the number of tokens.
-
-    A word that frequent in the whole is that frequent in some partition; what other partitions hold of it is counted where it is
-    half as frequent there.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
-        for b in batches:
-            for _, _, hashed, _ in tokens(b.column(0)):
-                total += len(hashed)
-                k, n = np.unique(hashed, return_counts=True)
-                keys, counts = merged(np.concatenate([keys, k]), np.concatenate([counts, n]))
-                if len(keys) > GATHERED:
-                    some = counts * 2 * FREQUENT >= total
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some]), pa.array(np.zeros(some.sum(), np.int64))], names=["w", "c", "n"])
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["w", "c", "n"])
-                    keys, counts, total = keys[:0], counts[:0], 0
-        some = counts * 2 * FREQUENT >= total
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some]), pa.array(np.zeros(some.sum(), np.int64))], names=["w", "c", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["w", "c", "n"])
-
-    found = scratch.keep(train.select("t").mapInArrow(run, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-    total = found.filter("w is null").agg(F.sum("n")).first()[0] or 0
-    kept = found.filter("w is not null").orderBy(F.desc("c"), "w").limit(FREQUENT).collect()
-    return [(r.w & (1 << 64) - 1, r.c) for r in kept if r.c * FREQUENT >= total], total
-
-
-def seated(train: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
-    """The state of each bucket after its first sweeps."""
+def gathered(train: DataFrame, buckets: int) -> DataFrame:
+    """The state of each bucket after its first sweeps, with totals guessed from what the bucket holds."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = [np.zeros(0, U64)] * buckets
-        counts: list[np.ndarray] = [np.zeros(0, np.int64)] * buckets
-        fresh: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def settle() -> int:
-            b, k = (np.concatenate(x) for x in zip(*fresh, strict=True))
-            order = np.argsort(b, kind="stable")
-            b, k = b[order], k[order]
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            for i in range(buckets):
-                if cut[i] < cut[i + 1]:
-                    own, n = np.unique(k[cut[i] : cut[i + 1]], return_counts=True)
-                    keys[i], counts[i] = merged(np.concatenate([keys[i], own]), np.concatenate([counts[i], n]))
+        none = lambda: [np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)]
+        held, fresh, waiting = none(), [], 0
+
+        def settle() -> list[np.ndarray]:
+            pair, w, ctx, c = (np.concatenate(x) for x in zip(held, *fresh, strict=True))
             fresh.clear()
-            return sum(map(len, keys))
+            return distinct(pair, w, ctx, c)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for i in range(buckets):
-                if len(keys[i]):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(keys[i], counts[i].astype(np.uint32))], pa.binary())], names=["bucket", "pairs"])
-                    keys[i], counts[i] = keys[i][:0], counts[i][:0]
+            _, w, ctx, c = held
+            order, ranges = dealt(place(w, buckets), w, buckets)
+            w, ctx, c = w[order], ctx[order], c[order].astype(np.uint32)
+            for b, s in ranges:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(w[s], ctx[s], c[s])], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             for _, _, hashed, doc in tokens(batch.column(0)):
-                fresh.append(place(hashed, context_of(hashed, doc, contexts), buckets))
+                ctx = context_of(hashed, doc)
+                fresh.append((pair_of(hashed, ctx), hashed, ctx, np.ones(len(hashed), np.int64)))
                 waiting += len(hashed)
                 if waiting > GATHERED // 2:
-                    waiting = 0
-                    if settle() > GATHERED:
+                    waiting, held = 0, settle()
+                    if len(held[0]) > GATHERED:
                         yield from out()
+                        held = none()
         if fresh:
-            settle()
+            held = settle()
         yield from out()
 
     def seat(table: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        for x in table["pairs"]:
-            k, c = unpack(x.as_py(), np.uint32)
-            keys, counts = merged(np.concatenate([keys, k]), np.concatenate([counts, c.astype(np.int64)]))
-        b, number = Bucket(keys, counts), table["bucket"][0].as_py()
-        in_context = lambda x: np.bincount(b.context, x, 256) * buckets
-        guess = Totals(in_context(b.c), in_context(b.t), len(keys) * buckets, len(b.words) * buckets, len(b.words) * buckets)
-        b.sampled(guess, number, FIRST_SWEEPS, 0)
-        return b.row(number)
+        w, ctx, c = (np.concatenate(x) for x in zip(*(unpack(x.as_py(), np.uint64, np.uint32) for x in table["data"]), strict=True))
+        _, w, ctx, c = distinct(pair_of(w, ctx), w, ctx, c.astype(np.int64))
+        order = np.argsort(w, kind="stable")
+        contexts, number = np.unique(ctx[order], return_inverse=True)
+        b, bucket = Bucket(w[order], c[order], None, None, number, contexts), table["bucket"][0].as_py()
+        guess = Totals(b.in_context(b.c) * buckets, b.in_context(b.t) * buckets, len(w) * buckets, len(b.words) * buckets, len(b.words) * buckets)
+        b.sampled(guess, bucket, FIRST_SWEEPS, 0)
+        return b.row(bucket)
 
-    return train.select("t").mapInArrow(gather, "bucket int, pairs binary").groupBy("bucket").applyInArrow(seat, STATE)
+    return train.select("t").mapInArrow(gather, "bucket int, data binary").groupBy("bucket").applyInArrow(seat, STATE)
 
 
-def resampled(state: DataFrame, totals: Totals) -> DataFrame:
-    """The state after more sweeps with renewed totals, table counts averaged over the last ones."""
+def distinct(pair: np.ndarray, w: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Distinct pairs in order, their words and contexts, and the sum of each one's counts."""
+    if not len(pair):
+        return [pair, w, ctx, c]
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return [pair[first], w[order[first]], ctx[order[first]], np.add.reduceat(c[order], first)]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def context_totals(state: DataFrame, buckets: int) -> DataFrame:
+    """Customers and tables of contexts: rows (bucket, data) for each word bucket's contexts, and for each context bucket's at bucket + 2 * buckets."""
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Bucket.of_row(row)
-                b.sampled(totals, 1 << 20 | row["bucket"], BURN_IN, SAMPLES)
-                yield from b.row(row["bucket"]).to_batches()
+                c, t = b.in_context(b.c), b.in_context(b.t)
+                order, ranges = dealt(place(b.contexts, buckets), b.contexts, buckets)
+                data = [pack(b.contexts[order[s]], c[order[s]], t[order[s]]) for _, s in ranges]
+                if data:
+                    yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in ranges], pa.int32()), pa.array([row["bucket"]] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "home", "data"])
+
+    def down(table: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py(), np.float64, np.float64) for x in table["data"]]
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        c, t = (np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2))
+        homes, rows = table["home"].to_pylist(), []
+        for p in parts:
+            i = np.searchsorted(keys, p[0])
+            rows.append(pack(keys[i], c[i], t[i]))
+        j = table["bucket"][0].as_py()
+        return pa.table({"bucket": pa.array([*homes, j + 2 * buckets], pa.int32()), "home": pa.array([j] * (len(rows) + 1), pa.int32()), "data": pa.array([*rows, pack(keys, c, t)], pa.binary())})
+
+    return state.select("bucket", "pairs", "words", "contexts").mapInArrow(up, TABLE).groupBy("bucket").applyInArrow(down, TABLE)
+
+
+def _with_contexts(b: Bucket, right: pa.Table, totals: Totals) -> Totals:
+    """totals with those of the bucket's own contexts."""
+    keys, c, t = (np.concatenate(x) for x in zip(*(unpack(x.as_py(), np.float64, np.float64) for x in right["data"]), strict=True))
+    order = np.argsort(keys)
+    assert np.array_equal(keys[order], b.contexts)
+    return Totals(c[order], t[order], totals.parent_customers, totals.parent_tables, totals.known, totals.discount, totals.parent_discount)
 
-    return state.mapInArrow(run, STATE)
 
+def resampled(state: DataFrame, totals: Totals, buckets: int) -> DataFrame:
+    """The state after more sweeps with renewed totals, table counts averaged over the last ones."""
 
-@dataclass
-class Frequent:
-    """Frequent words' restaurants, by the words' hashes in order: their pairs, training counts and parent probabilities."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b = Bucket.of_row(row)
+        b.sampled(_with_contexts(b, right, totals), 1 << 20 | row["bucket"], BURN_IN, SAMPLES)
+        return b.row(row["bucket"])
 
-    hashes: np.ndarray
-    keys: np.ndarray  # number of the word << 8 | context
-    p: np.ndarray
-    count: np.ndarray
-    parent: np.ndarray
+    sent = context_totals(state, buckets).filter(F.col("bucket") < buckets)
+    return state.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(run, STATE)
 
 
-def frequent_model(state: DataFrame, hashes: np.ndarray, totals: Totals, buckets: int) -> Frequent:
-    """At most FREQUENT words with 256 contexts each are gathered."""
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    bucket, key = place(hashes, np.zeros(len(hashes), U64), buckets)
+def tables(state: DataFrame, sent: DataFrame, totals: Totals, buckets: int) -> DataFrame:
+    """What scores are looked up in: rows (bucket, home, data), of keys, log10 of a probability and training count.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Buckets are those of pairs, then of words, then of contexts (back-off and customers). home is 1 for what is frequent.
+    """
+    least = totals.tokens / FREQUENT
+
+    def rows(bucket: int, keys: np.ndarray, logp: np.ndarray, count: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        data = lambda i: pack(keys[i], logp[i].astype(np.float32), count[i].astype(np.int64))
+        yield bucket, 0, data(slice(None))
+        if chosen.any():
+            yield bucket, 1, data(chosen)
+
+    def table(out: list[tuple[int, int, bytes]]) -> pa.Table:
+        bucket, home, data = zip(*out, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "home": pa.array(home, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def of_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b = Bucket.of_row(row)
+        own = _with_contexts(b, right, totals)
+        parent, count = own.parent(b.sums(b.t), b.t0), b.sums(b.c)
+        out = list(rows(buckets + row["bucket"], b.words, np.log10(parent), count, count >= least))
+        pair, logp, count = pair_of(b.words[b.of], b.contexts[b.context]), np.log10(own.pair(b.context, b.c, b.t, parent[b.of])), count[b.of]
+        order, ranges = dealt(place(pair, buckets), pair, buckets)
+        for j, s in ranges:
+            i = order[s]
+            out += rows(j, pair[i], logp[i], count[i], b.c[i] >= least)
+        return table(out)
+
+    def of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                mine = np.flatnonzero(bucket == row["bucket"])
-                b = Bucket.of_row(row)
-                own = key[mine] >> U64(8)
-                number = dict(zip(own.tolist(), mine.tolist(), strict=True))
-                parent, total = totals.parent(b.sums(b.t), b.t0), b.sums(b.c)
-                at = np.flatnonzero(np.isin(b.words, own))
-                ends = np.append(b.first, len(b.keys))
-                ks, ps = [], []
-                for i in at.tolist():
-                    s = slice(ends[i], ends[i + 1])
-                    ks.append(number[int(b.words[i])] << 8 | b.context[s])
-                    ps.append(totals.pair(b.context[s], b.c[s], b.t[s], np.full(s.stop - s.start, parent[i])))
-                flat = lambda x, kind: (np.concatenate(x) if x else np.zeros(0)).astype(kind).tobytes()
-                numbers = np.array([number[int(w)] for w in b.words[at]], np.int64)
-                cols = [flat(ks, np.int64), flat(ps, np.float64), numbers.tobytes(), total[at].astype(np.int64).tobytes(), parent[at].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=list("kpnct"))
-
-    got = state.mapInArrow(run, "k binary, p binary, n binary, c binary, t binary").toArrow()
-    read = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in got[c]] or [np.zeros(0, kind)])
-    keys, p = read("k", np.int64), read("p", np.float64)
-    numbers = read("n", np.int64)
-    count, parent = np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-    count[numbers], parent[numbers] = read("c", np.int64), read("t", np.float64)
+            for r in batch.to_pylist():
+                keys, c, t = unpack(r["data"], np.float64, np.float64)
+                own = Totals(c, t, 0.0, 0.0, 0.0, totals.discount)
+                yield from table(list(rows(r["bucket"], keys, np.log10(own.back_off()), c, c >= least))).to_batches()
+
+    mine = state.groupBy("bucket").cogroup(sent.filter(F.col("bucket") < buckets).groupBy("bucket")).applyInArrow(of_words, TABLE)
+    return mine.unionAll(sent.filter(F.col("bucket") >= 2 * buckets).mapInArrow(of_contexts, TABLE))
+
+
+def _read_table(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [unpack(x, np.float32, np.int64) for x in data]
+    keys, logp, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(0, np.int64))
     order = np.argsort(keys)
-    return Frequent(hashes, keys[order], p[order], count, parent)
+    return keys[order], logp[order].astype(float), count[order]
 
 
-def partial_scores(docs: DataFrame, state: DataFrame, contexts: np.ndarray, frequent: Frequent, totals: Totals, buckets: int) -> DataFrame:
-    """Rows (segment, sums): sums of log10 of the probability, log10(c + 1) and the words with c > 0, for a segment's texts in order.
+#: Rows on their way to a bucket, or with bucket -1 sums of a segment (data: the texts' numbers); a segment's ids come once.
+ROW = "bucket int, segment long, ids array<long>, held array<boolean>, n binary, data binary, open boolean"
+ROW_KINDS = {"bucket": pa.int32(), "segment": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.binary(), "data": pa.binary(), "open": pa.bool_()}
 
-    Each segment's own row holds its ids, flags and token numbers and its frequent words' sums; each bucket adds a row with those of
-    the segment's words that it holds.
-    """
-    back_off = np.log10(totals.back_off())
-    model = docs.sparkSession.sparkContext.broadcast((contexts, frequent))
+
+def _row_table(out: list[tuple]) -> pa.Table:
+    columns = list(zip(*out, strict=True)) or [[]] * len(ROW_KINDS)
+    return pa.table({k: pa.array(c, t) for c, (k, t) in zip(columns, ROW_KINDS.items(), strict=True)})
+
+
+def _sums_row(segment: int, doc: np.ndarray, logp: np.ndarray, count: np.ndarray, known: np.ndarray) -> tuple:
+    """Sums of log10 of the probability, of log10(count + 1) and of known words, for the texts that have any."""
+    some, at = np.unique(doc, return_inverse=True)
+    sums = np.stack([np.bincount(at, w, len(some)) for w in (logp, np.log10(count + 1.0), known.astype(float))])
+    return -1, segment, None, None, None, pack(some.astype(U64), *sums), None
+
+
+def partial_scores(docs: DataFrame, lookup: DataFrame, totals: Totals, buckets: int, scratch: Scratch) -> DataFrame:
+    """Rows of sums (ROW, bucket -1) of the texts of each segment."""
+    spark = docs.sparkSession
+    usual: list[list[bytes]] = [[], [], []]
+    for r in lookup.filter("home = 1").select("bucket", "data").collect():
+        usual[r.bucket // buckets].append(bytes(r.data))
+    frequent = spark.sparkContext.broadcast([_read_table(x) for x in usual])
+    unknown = float(np.log10(totals.unknown()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        contexts, f = model.value
+        keys, logp, count = frequent.value[0]
         segment = TaskContext.get().partitionId() << 32
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-        names = ["bucket", "segment", "ids", "held", "n", "data"]
         for batch in batches:
             for lo, hi, hashed, doc in tokens(batch.column(1)):
-                n, segment = hi - lo, segment + 1
-                context = context_of(hashed, doc, contexts)
-                i = np.minimum(np.searchsorted(f.hashes, hashed), max(0, len(f.hashes) - 1))
-                known = f.hashes[i] == hashed if len(f.hashes) else np.zeros(len(hashed), bool)
-                word, ctx, own = i[known], context[known].astype(np.int64), doc[known]
-                logp = np.log10(np.maximum(f.parent[word], 1e-300)) + back_off[ctx]
-                key = word << 8 | ctx
-                j = np.minimum(np.searchsorted(f.keys, key), max(0, len(f.keys) - 1))
-                seen = f.keys[j] == key if len(f.keys) else np.zeros(len(key), bool)
-                logp[seen] = np.log10(f.p[j[seen]])
-                sums = np.stack([np.bincount(own, w, n) for w in (logp, np.log10(f.count[word] + 1.0), (f.count[word] > 0).astype(float))])
-                rows = [(int(segment % buckets), segment, batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_pylist(), np.bincount(doc, minlength=n).astype(np.int32).tobytes(), sums.tobytes())]
-                bucket, key = place(hashed[~known], context[~known], buckets)
-                order = np.lexsort((key, bucket))
-                bucket, key, own = bucket[order], key[order], doc[~known][order].astype(np.uint16 if n < 1 << 16 else np.uint32)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    s = slice(cut[b], cut[b + 1])
-                    rows.append((b, segment, None, None, np.int32(n).tobytes(), pack(key[s], own[s].astype(np.uint32))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                segment += 1
+                ids, held = batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_pylist()
+                context = context_of(hashed, doc)
+                pair = pair_of(hashed, context)
+                i, known = found(keys, pair)
+                n = np.bincount(doc, minlength=hi - lo).astype(np.int32).tobytes()
+                out = [(-1, segment, ids, held, n, None, None), _sums_row(segment, doc[known], logp[i[known]], count[i[known]], known[known])]
+                held_out = np.array(held, bool)[doc]
+                for is_open in (False, True):
+                    left = np.flatnonzero(~known & (held_out == is_open))
+                    order, ranges = dealt(place(pair[left], buckets), pair[left], buckets)
+                    left = left[order]
+                    for b, s in ranges:
+                        j = left[s]
+                        more = (hashed[j], context[j]) if is_open else ()
+                        out.append((b, segment, None, None, None, pack(pair[j], doc[j].astype(np.uint32), *more), is_open))
+                yield from _row_table(out).to_batches()
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"segment": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.binary(), "sums": pa.binary()}
-        b = Bucket.of_row(right.to_pylist()[0]) if len(right) else Bucket(np.zeros(0, U64), np.zeros(0, np.int64))
-        parent, total = totals.parent(b.sums(b.t), b.t0), b.sums(b.c)
-        pair = np.log10(totals.pair(b.context, b.c, b.t, parent[b.of])) if len(b.keys) else np.zeros(0)
-        out: dict[str, list] = {k: [] for k in kinds}
-        for row in left.to_batches(max_chunksize=64):
-            for r in row.to_pylist():
-                sums = r["data"]
-                if r["ids"] is None:
-                    key, doc = unpack(r["data"], np.uint32)
-                    n, ctx = int(np.frombuffer(r["n"], np.int32)[0]), (key & U64(255)).astype(np.int64)
-                    i = np.minimum(np.searchsorted(b.words, key >> U64(8)), max(0, len(b.words) - 1))
-                    known = b.words[i] == key >> U64(8) if len(b.words) else np.zeros(len(key), bool)
-                    p = np.full(len(key), totals.unknown())
-                    p[known] = parent[i[known]]
-                    logp = np.log10(p) + back_off[ctx]
-                    j = np.minimum(np.searchsorted(b.keys, key), max(0, len(b.keys) - 1))
-                    seen = b.keys[j] == key if len(b.keys) else np.zeros(len(key), bool)
-                    logp[seen] = pair[j[seen]]
-                    c = np.zeros(len(key))
-                    c[known] = total[i[known]]
-                    sums = np.stack([np.bincount(doc, w, n) for w in (logp, np.log10(c + 1), known.astype(float))]).tobytes()
-                for k, v in zip(kinds, (r["segment"], r["ids"], r["held"], r["n"], sums), strict=True):
-                    out[k].append(v)
-        return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
-
-    spread_rows = docs.select("k", "t", "held").mapInArrow(spread, "bucket int, segment long, ids array<long>, held array<boolean>, n binary, data binary")
-    return spread_rows.groupBy("bucket").cogroup(state.select("bucket", "pairs", "words").groupBy("bucket")).applyInArrow(judge, "segment long, ids array<long>, held array<boolean>, n binary, sums binary")
+        out, (keys, logp, count) = [], _read_table(right["data"].to_pylist())
+        for batch in left.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                if r["bucket"] < 0:
+                    out.append(tuple(r[k] for k in ROW_KINDS))
+                    continue
+                pair, doc, *more = unpack(r["data"], np.uint32, *([np.uint64] * 2 if r["open"] else []))
+                i, known = found(keys, pair)
+                out.append(_sums_row(r["segment"], doc[known], logp[i[known]], count[i[known]], known[known]))
+                for kind, asked in enumerate(more, 1):
+                    own, asked = doc[~known], asked[~known]
+                    f, value, number = frequent.value[kind]
+                    i, there = found(f, asked)
+                    one = kind == 1
+                    out.append(_sums_row(r["segment"], own[there], value[i[there]], number[i[there]] * one, there[there] * one))
+                    own, asked = own[~there], asked[~there]
+                    order, ranges = dealt(place(asked, buckets), asked, buckets)
+                    for b, s in ranges:
+                        out.append((kind * buckets + b, r["segment"], None, None, None, pack(asked[order[s]], own[order[s]]), True))
+        return _row_table(out)
+
+    def judge_apart(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, (keys, logp, count) = [], _read_table(right["data"].to_pylist())
+        for batch in left.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                asked, doc = unpack(r["data"], np.uint32)
+                i, known = found(keys, asked)
+                one = r["bucket"] < 2 * buckets
+                value, number = np.full(len(asked), unknown if one else 0.0), np.zeros(len(asked))
+                value[known] = logp[i[known]]
+                number[known] = count[i[known]] * one
+                out.append(_sums_row(r["segment"], doc, value, number, known * one))
+        return _row_table(out)
+
+    every = lookup.filter("home = 0")
+    asked = docs.select("k", "t", "held").mapInArrow(spread, ROW)
+    first = scratch.keep(asked.groupBy("bucket").cogroup(every.filter(F.col("bucket") < buckets).groupBy("bucket")).applyInArrow(judge, ROW))
+    apart = first.filter("bucket >= 0").groupBy("bucket").cogroup(every.filter(F.col("bucket") >= buckets).groupBy("bucket")).applyInArrow(judge_apart, ROW)
+    return first.filter("bucket < 0").unionAll(apart)
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,28 +524,32 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id
     scratch = Scratch(spark, "hpylm")
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), _is_held_out(id_col, folds, held).alias("held"))
     train = rows.filter("not held")
-    common, total = frequent_words(train, scratch)
-    contexts = np.sort(np.array([w for w, c in common if c * CONTEXTS >= total], np.uint64))[:CONTEXTS]
-    buckets = min(1 << 16, total // BUCKET_TOKENS + 1)
-    first = scratch.keep(seated(train, contexts, buckets))
+    size = train.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = min(1 << 14, size // (TOKEN_BYTES * BUCKET_TOKENS) + 1)
+    first = scratch.keep(gathered(train, buckets))
     small_batches(spark, 1)
-    state = scratch.keep(resampled(first, totals_of(first)))
-    totals = totals_of(state, totals_of(first))
+    guess = totals_of(first)
+    state = scratch.keep(resampled(first, guess, buckets))
     scratch.free(first)
-    frequent = frequent_model(state, np.array([w for w, _ in common], np.uint64), totals, buckets)
+    totals = totals_of(state, guess)
+    sent = scratch.keep(context_totals(state, buckets))
+    lookup = scratch.keep(tables(state, sent, totals, buckets))
+    scratch.free(state, sent)
     small_batches(spark)
-    parts = partial_scores(rows, state, contexts, frequent, totals, buckets)
-    tokens_in, known = int(totals.customers.sum()), int(totals.known)
+    parts = partial_scores(rows, lookup, totals, buckets, scratch)
+    tokens_in, known = totals.tokens, int(totals.known)
     per_token = float(np.log10(tokens_in + known + 1))
 
     def add(table: pa.Table) -> pa.Table:
-        out, ids, flags, n = None, None, None, None
-        for r in table.to_pylist():
-            sums = np.frombuffer(r["sums"]).reshape(3, -1)
-            out = sums.copy() if out is None else out + sums
-            if r["ids"] is not None:
-                ids, flags, n = r["ids"], r["held"], np.frombuffer(r["n"], np.int32).astype(np.int64)
-        return pa.table({"k": pa.array(ids, pa.int64()), "held_out": pa.array(flags, pa.bool_()), "n_tokens": n, "n_known": out[2].astype(np.int64), "base_score": out[1] - n * per_token, "score": out[0]})
+        some = table.to_pylist()
+        own = next(r for r in some if r["ids"] is not None)
+        n = np.frombuffer(own["n"], np.int32).astype(np.int64)
+        out = np.zeros((3, len(n)))
+        for r in some:
+            if r["data"]:
+                doc, *sums = unpack(r["data"], *[np.float64] * 3)
+                out[:, doc.astype(np.int64)] += np.stack(sums)
+        return pa.table({"k": pa.array(own["ids"], pa.int64()), "held_out": pa.array(own["held"], pa.bool_()), "n_tokens": n, "n_known": np.rint(out[2]).astype(np.int64), "base_score": out[1] - n * per_token, "score": out[0]})
 
     result = parts.groupBy("segment").applyInArrow(add, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.select(F.col("k").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens_in).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.col("n_tokens")).alias("log10_perplexity"))

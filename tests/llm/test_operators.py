@@ -248,6 +248,15 @@ def test_language_model_counts_and_sums(spark, monkeypatch):
         assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_every_preceding_word_is_a_context(spark):
+    """Of 600 words, each equally frequent (none has 1/254 of the tokens), each is always followed by the same one."""
+    texts = [" ".join(f"w{(s * 37 + 7 * i) % 600}" for i in range(100)) for s in range(400)]
+    got = hpylm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("held_out").collect()
+    assert len(got) > 20
+    # a unigram model cannot do better than log10(600) = 2.78 a word
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.5
+
+
 def test_predictive_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     word, ctx = r.integers(0, 50, 4000), r.integers(0, 4, 4000)
