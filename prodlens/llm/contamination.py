@@ -7,11 +7,12 @@ documents: the posting lists of a phrase are intersected from the rarest term on
 term's offset, so what is left are the starts of exact occurrences.
 
 Queries (benchmark items) are taken in blocks of bounded size; a block's terms are what is sent to the
-executors. Segments hold postings of the terms that the block asks for.
+executors. Segments hold postings of the terms that the block asks for, or of all terms where there are more blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -179,7 +180,7 @@ def matches(index: DataFrame, queries: Queries, near_span: int | None = None) ->
 
 
 def _verdicts(index: DataFrame, queries: Queries) -> DataFrame:
-    """For each document of the index: n_words, the ranges of hit words and the items found."""
+    """For each document of the index (with `segment`): its segment and place there, id, n_words, the ranges of hit words and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,11 +206,11 @@ def _verdicts(index: DataFrame, queries: Queries) -> DataFrame:
                         else:
                             own.append({"lo": int(lo[i]), "hi": int(hi[i])})
                 n = range(len(s.ids))
-                cols = [pa.array(s.ids, b.schema.field(0).type.value_type), pa.array(s.n_words, pa.int64()), pa.array([spans.get(i, []) for i in n], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted(items.get(i, ())) for i in n], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["k", "n_words", "spans", "items"])
+                cols = [pa.array([row["segment"]] * len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(s.ids, b.schema.field(0).type.value_type), pa.array(s.n_words, pa.int64()), pa.array([spans.get(i, []) for i in n], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted(items.get(i, ())) for i in n], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["segment", "place", "k", "n_words", "spans", "items"])
 
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    return index.mapInArrow(run, f"k {kind}, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>")
+    return index.mapInArrow(run, f"segment long, place int, k {kind}, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>")
 
 
 def _union_length(spans: Column) -> Column:
@@ -234,19 +235,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted) of every document.
 
     A document word inside any occurrence of an item's window is hit. Null texts have no words and are clean.
-    Items with equal texts each count; rows of one item id count once. Ids must be distinct in docs; a null id
-    keeps its row. Other columns are not read. Without documents or items nothing is hit.
+    Items with equal texts each count; rows of one item id count once. Rows that repeat an id, and those with a null id, each
+    have their own verdict. Other columns are not read. Without documents or items nothing is hit.
     """
-    spark = docs.sparkSession
-    shared, out = Scratch(spark, "postings"), []
-    for queries in query_blocks(benchmark, window):
-        index = shared.keep(build_index(docs, queries.vocabulary, id_col))
-        out.append(_verdicts(index, queries))
+    scratch = Scratch(docs.sparkSession, "postings")
+    rest = query_blocks(benchmark, window)
+    some = list(itertools.islice(rest, 2)) or [Queries.of([], [], window)]
+    # Several blocks share one index of all terms; rows are told apart by where they lie in it, written once with it.
+    index = build_index(docs, some[0].vocabulary if len(some) == 1 else None, id_col)
+    index = scratch.keep(index.withColumn("segment", F.monotonically_increasing_id()))
+    out = [_verdicts(index, queries) for queries in itertools.chain(some, rest)]
     if len(out) == 1:
         found = out[0].withColumn("n_hit", _union_length(F.col("spans")))
     else:
         union = out[0]
         for o in out[1:]:
             union = union.unionAll(o)
-        found = union.groupBy("k").agg(F.max("n_words").alias("n_words"), _union_length(F.flatten(F.collect_list("spans"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = union.groupBy("segment", "place").agg(F.first("k").alias("k"), F.max("n_words").alias("n_words"), _union_length(F.flatten(F.collect_list("spans"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found.select(F.col("k").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")

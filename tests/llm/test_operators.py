@@ -124,6 +124,21 @@ def test_contamination_as_brute_force(spark, monkeypatch, block):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, items)
 
 
+@pytest.mark.parametrize("block", [16 << 20, 8])
+def test_contamination_of_null_and_repeated_ids(spark, monkeypatch, block):
+    """Each row keeps its own verdict, however many blocks the benchmark has."""
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", block)
+    items = ["red green", "blue iron lamp", "x y z", "steam of kettle"]
+    texts = ["a red green b", "blue iron lamp", None, "none of these words", "red green x y z", "steam of kettle red green"]
+    docs = spark.createDataFrame(list(zip([None, None, 1, 1, 1, None], texts)), "doc_id long, text string")
+    got = contamination.contamination(docs, benchmark(spark, items)).collect()
+    seen = lambda r: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+    for key, own in ((None, (0, 1, 5)), (1, (2, 3, 4))):
+        assert sorted(seen(r) for r in got if r.doc_id == key) == sorted(brute_contamination(texts[i], items) for i in own)
+    odd = spark.createDataFrame([(i, "... ... ...") for i in range(9)], "item_id long, text string")
+    assert [r.n_hit for r in contamination.contamination(docs, odd).collect()] == [0] * 6
+
+
 def test_exact_and_near_matches(spark):
     q = contamination.Queries.of(["a"], ["red green blue"], 10)
     index = contamination.build_index(documents(spark, ["x red green blue", "blue x green x red", "red green", None]))
