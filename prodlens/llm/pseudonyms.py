@@ -19,21 +19,29 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: English names of months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH = "(?:" + "|".join(MONTHS + [m[:3] for m in MONTHS if m != "May"]) + ")"
+
 #: What is looked for, in order of precedence at the same place. Validation follows below.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
     "aws": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"\b(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-./+]{6,128}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "iso_date": r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b",
-    "day_date": r"\b\d{2}[./](?:\d{2})[./](?:19|20)\d{2}\b",
+    "iso_date": r"(?<!\d)(?:19|20)\d{2}-\d{2}-\d{2}(?!\d)",
+    "day_date": r"(?<!\d)(?<!\d[./\-])\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d{2}(?!\d)",
+    "name_date": rf"(?<!\d)\d{{1,2}} {MONTH} (?:19|20)\d{{2}}(?!\d)|\b{MONTH} \d{{1,2}},? (?:19|20)\d{{2}}(?!\d)",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"(?:\+1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}\b|(?:\+1[ .\-])?\b\d{3}[.\-]\d{3}[.\-]\d{4}\b|\+1 \d{3} \d{3} \d{4}\b",
     "intl_phone": r"\+(?:[2-9]\d{0,2})(?:[ .\-]?\(?\d{1,4}\)?){2,5}",
-    "card": r"\b\d(?:[ \-]?\d){12,18}\b",
+    "card": r"\b\d(?:[ \-]?\d){12,}\b",
     "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: How the digits of cards are written, and IBANs, where they are only a part of what was found.
+CARD_GROUPS = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{4,5})$"
+IBAN_GROUPS = r"^[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)$"
 #: Days since 1970-01-01 of the first date in the permuted range, and its length: 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS, DAY_SPLIT = -25567, 73049, 4297
 
@@ -108,7 +116,7 @@ def _card(x: Column, key: str) -> Column:
         body = permuted_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         return _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    ok = (luhn_sum(_digits(x)) == 0) & ~_digits(x).rlike("^(.)\\1*$")
+    ok = F.length(_digits(x)).between(13, 19) & (luhn_sum(_digits(x)) == 0) & ~_digits(x).rlike("^(.)\\1*$")
     return F.when(ok, _refilled(x, made(_digits(x))))
 
 
@@ -151,22 +159,39 @@ def _ssn(x: Column, key: str) -> Column:
 def _date(x: Column, key: str) -> Column:
     """A real date of 1900 to 2099; with two numbers up front, day first unless only month first is a date.
 
-    The permutation is one of dates, so one date has one pseudonym in all notations.
+    The permutation is one of dates, so one date has one pseudonym in all notations. Days and months of one digit have no leading zero.
     """
     iso = x.rlike("^\\d{4}-")
-    n = lambda a, size: F.substring(x, a, size).cast("int")
-    day_first = F.try_make_timestamp(n(7, 4), n(4, 2), n(1, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    month_first = F.try_make_timestamp(n(7, 4), n(1, 2), n(4, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    whole = F.try_make_timestamp(n(1, 4), n(6, 2), n(9, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    date = F.when(iso, whole).otherwise(F.coalesce(day_first, month_first))
-    new = F.date_add(F.lit("1970-01-01").cast("date"), (permuted_number(F.unix_date(date).cast("long") - FIRST_DAY, DAYS // DAY_SPLIT, DAY_SPLIT, key, "date") + FIRST_DAY).cast("int"))
+    part = lambda i: F.regexp_extract(x, "^(\\d+)([./\\-])(\\d+)([./\\-])(\\d+)$", i)
+    made = lambda y, m, d: F.try_make_timestamp(y.cast("int"), m.cast("int"), d.cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    day_first, month_first = made(part(5), part(3), part(1)), made(part(5), part(1), part(3))
+    date = F.when(iso, made(part(1), part(3), part(5))).otherwise(F.coalesce(day_first, month_first))
 
     def put(d: Column) -> Column:
-        s = F.substring(x, 3, 1)
-        either = F.when(day_first.isNotNull(), F.concat(F.date_format(d, "dd"), s, F.date_format(d, "MM"))).otherwise(F.concat(F.date_format(d, "MM"), s, F.date_format(d, "dd")))
-        return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(either, s, F.date_format(d, "yyyy")))
+        sized = lambda v, i: F.when(F.length(part(i)) == 1, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+        a, b = F.when(day_first.isNotNull(), F.dayofmonth(d)).otherwise(F.month(d)), F.when(day_first.isNotNull(), F.month(d)).otherwise(F.dayofmonth(d))
+        return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(sized(a, 1), part(2), sized(b, 3), part(4), F.date_format(d, "yyyy")))
+
+    return F.when(date.isNotNull(), _let(_new_date(date, key), put))
+
 
-    return F.when(date.isNotNull(), _let(new, put))
+def _new_date(date: Column, key: str) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), (permuted_number(F.unix_date(date).cast("long") - FIRST_DAY, DAYS // DAY_SPLIT, DAY_SPLIT, key, "date") + FIRST_DAY).cast("int"))
+
+
+def _name_date(x: Column, key: str) -> Column:
+    """A real date with an English month, before or after the day, in full or by three letters."""
+    name, day, year = F.regexp_extract(x, "[A-Z][a-z]+", 0), F.regexp_extract(x, "(?<!\\d)\\d{1,2}(?!\\d)", 0), F.right(x, F.lit(4))
+    number = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.left(name, F.lit(3))).cast("int")
+    date = F.try_make_timestamp(year.cast("int"), number, day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+    def put(d: Column) -> Column:
+        full = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
+        month = F.when((F.length(name) == 3) & (name != "May"), F.left(full, F.lit(3))).otherwise(full)
+        y = F.date_format(d, "yyyy")
+        return F.when(x.rlike("^\\d"), F.concat_ws(" ", F.dayofmonth(d).cast("string"), month, y)).otherwise(F.concat(month, F.lit(" "), F.dayofmonth(d).cast("string"), F.when(x.contains(","), ", ").otherwise(" "), y))
+
+    return F.when(date.isNotNull(), _let(_new_date(date, key), put))
 
 
 def _mod97(text: Column) -> Column:
@@ -208,19 +233,55 @@ def _aws(x: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), permuted_text(F.substring(x, F.lit(5), F.length(x)), key, "aws"))
 
 
-MAKERS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "aws": _aws, "secret": _secret, "iban": _iban, "iso_date": _date, "day_date": _date, "ssn": _ssn, "phone": _phone, "intl_phone": _intl_phone, "card": _card, "ip": _ip}
+MAKERS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "aws": _aws, "secret": _secret, "iban": _iban, "iso_date": _date, "day_date": _date, "name_date": _name_date, "ssn": _ssn, "phone": _phone, "intl_phone": _intl_phone, "card": _card, "ip": _ip}
+
+
+#: Kinds of which only a part of what was found may be one, as ordinary neighbours look like more of it.
+PARTLY: dict[str, Callable[[Column, str], Column]] = {"iban": _iban, "card": _card}
+
+
+def _first_kind(found: Column, key: str, kinds: list[str]) -> Column:
+    """Of the kinds whose whole pattern it has, the pseudonym of the first that validates; else null."""
+    return F.coalesce(*(F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), MAKERS[kind](found, key)) for kind in kinds))
+
+
+def _in_parts(x: Column, key: str) -> Column:
+    """x with the cards and IBANs among its runs of groups replaced, from the left, the longest first, and other kinds in what is left."""
+    groups = F.regexp_extract_all(x, F.lit("([^ \\-]+|[ \\-])"), 1)
+    one = lambda c: F.coalesce(F.when(c.rlike(CARD_GROUPS), _card(c, key)), F.when(c.rlike(IBAN_GROUPS), _iban(c, key)))
+    part = "array<struct<t:string,ok:boolean>>"
+
+    def step(s: Column, i: Column, g: Column) -> Column:
+        sizes = F.sequence(F.least(F.size(g) - i + 1, F.lit(17)), F.lit(1), F.lit(-1))
+        made = F.filter(F.transform(sizes, lambda n: F.struct(one(F.array_join(F.slice(g, i, n), "")).alias("t"), n.alias("n"))), lambda c: c["t"].isNotNull())
+        own = F.element_at(g, i)
+        use = lambda m: F.when(F.size(m) > 0, F.struct(F.concat(s["parts"], F.array(F.struct(s["left"].alias("t"), F.lit(False).alias("ok")), F.struct(m[0]["t"].alias("t"), F.lit(True).alias("ok")))).alias("parts"), F.lit("").alias("left"), (i + m[0]["n"]).alias("next"))).otherwise(F.struct(s["parts"].alias("parts"), F.concat(s["left"], own).alias("left"), s["next"].alias("next")))
+        return F.when(i < s["next"], s).otherwise(_let(made, use))
+
+    start = F.struct(F.array().cast(part).alias("parts"), F.lit("").alias("left"), F.lit(1).alias("next"))
+    others = [k for k in PATTERNS if k not in PARTLY]
+    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in others)
+    all_parts = lambda g: _let(F.aggregate(F.sequence(F.lit(1), F.size(g)), start, lambda s, i: step(s, i, g)), lambda s: F.concat(s["parts"], F.array(F.struct(s["left"].alias("t"), F.lit(False).alias("ok")))))
+    rest = lambda t: _joined(t, pattern, lambda y: F.coalesce(_first_kind(y, key, others), y))
+    return F.array_join(F.transform(_let(groups, all_parts), lambda p: F.when(p["ok"] | (p["t"] == ""), p["t"]).otherwise(rest(p["t"]))), "")
 
 
 def pseudonym(found: Column, key: str) -> Column:
-    """What a found string becomes: of the kinds whose whole pattern it has, the first that validates; else itself."""
-    return F.coalesce(*(F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), make(found, key)) for kind, make in MAKERS.items()), found)
+    """What a found string becomes: of the kinds whose whole pattern it has, the first that validates; else, of cards and IBANs, parts that do; else itself."""
+    partly = "|".join(f"(?:{PATTERNS[kind]})" for kind in PARTLY)
+    return F.coalesce(_first_kind(found, key, list(MAKERS)), F.when(found.rlike(f"^(?:{partly})$"), _in_parts(found, key)), found)
+
+
+def _joined(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with each match of pattern changed."""
+    between = F.split(text, pattern, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), change)
+    return F.array_join(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def replaced(text: Column, key: str) -> Column:
     """The text with all personal data pseudonymised."""
-    between = F.split(text, ANY, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), 1), lambda x: pseudonym(x, key))
-    whole = F.array_join(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = _joined(text, ANY, lambda x: pseudonym(x, key))
     return F.when(text.rlike("[0-9@]|(?i:pass|pwd|secret|token|key)"), whole).otherwise(text)
 
 

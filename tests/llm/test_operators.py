@@ -201,6 +201,39 @@ def test_number_permutation_is_one(spark, m1, m2):
     assert sorted(r.y for r in got) == list(range(n))
 
 
+CARD, IBAN = "4111 1111 1111 1111", "ES9121000418450200051332"
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        (f"{CARD} 12/26", CARD),
+        (f"no 12 {CARD} 12 of 3", CARD),
+        (f"{CARD} 2024-02-29", "2024-02-29"),
+        (f"1234 5678 {CARD} 99", CARD),
+        (f"{IBAN} EUR", IBAN),
+        (f"{IBAN} PAID {IBAN} EUR", IBAN),
+        ("ES91 2100 0418 4502 0005 1332 EUR", "ES91 2100 0418 4502 0005 1332"),
+        ("at 2024-02-29T10:00:00Z", "2024-02-29"),
+        ("on 3/4/2020.", "3/4/2020"),
+        ("on 04-03-2020.", "04-03-2020"),
+        ("on 5 March 2020.", "5 March 2020"),
+        ("on Mar 5, 2020.", "Mar 5, 2020"),
+    ],
+)
+def test_pseudonyms_beside_ordinary_neighbours(spark, text, value):
+    """The same value alone and beside neighbours has the same pseudonym; the neighbours stay."""
+    df = spark.createDataFrame([(1, text), (2, value), (3, "4111 1111 1111 1112 12/26 31/2/2020 30 February 2020")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonymised(df)}
+    assert got[2] != value and got[3] == "4111 1111 1111 1112 12/26 31/2/2020 30 February 2020"
+    want = text.replace(value, got[2])
+    assert got[1] == want if value != "2024-02-29" or CARD not in text else got[1].endswith(got[2]) and CARD not in got[1]
+
+
+def pseudonymised(df):
+    return pseudonyms.pseudonymise(df, "k").collect()
+
+
 def test_text_permutation_is_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     assert df.select(pseudonyms.permuted_text(F.col("x"), "key", "x").alias("y")).distinct().count() == 1000
