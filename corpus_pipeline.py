@@ -7,6 +7,7 @@ run() writes each stage's rows to the shared folder as Parquet and reads them ag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prodlens.llm import contamination, language_id, mixing, near_dup, pseudonyms
 from prodlens.llm.queries import PSEUDONYM_KEY
@@ -19,8 +20,14 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those that language ID finds to be in none go."""
-    found = language_id.identified(docs, language_id.fit(docs))
+    """Documents in a learned language; those without a letter, and those far from every language's codeword, go.
+
+    Where no text has a language nothing is learned, and only those without a letter go.
+    """
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    found = language_id.identified(docs, model, far=language_id.FAR)
     return found.filter("lang_pred <> 'und'").select(docs.columns)
 
 

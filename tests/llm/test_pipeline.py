@@ -25,3 +25,11 @@ def test_stages(spark, tmp_path):
     assert "jo.doe42@" not in kept[208].text and "site.example" in kept[208].text
     assert set(out.columns) == {*columns, "mix_tokens", "mix_rate", "mix_copies"}
     assert out.filter(F.col("mix_rate") < 0).count() == 0
+
+
+def test_language_stage_rejects_by_the_code_and_needs_no_labels(spark):
+    texts = [*language_texts(), "Это русский текст о погоде и доме", "这是一个中文文本", "123 456", None]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts[:200])] + [(i, t, None) for i, t in enumerate(texts) if i >= 200], "doc_id long, text string, lang string")
+    kept = lambda df: sorted(r.doc_id for r in corpus_pipeline.keep_languages(spark, df, "").collect())
+    assert kept(docs) == list(range(200))
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == list(range(202))
