@@ -14,9 +14,9 @@ from prodlens.llm.queries import PSEUDONYM_KEY
 from prodlens.llm.scratch import Scratch
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are in verdicts (doc_id). A null id stays."""
-    return docs.filter("doc_id is null").unionAll(docs.join(verdicts, "doc_id", "left_semi").select(docs.columns))
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays. Ids may be null or repeated."""
+    return Scratch(spark, "rows").keep(docs.withColumn("row_key", F.monotonically_increasing_id()))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id."""
-    return _kept(docs, near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id"))
+    """Of each near-duplicate group the row with the smallest id; one without an id only where all are."""
+    rows = _keyed(spark, docs)
+    groups = near_dup.near_duplicates(rows, "row_key").select("row_key", "component_id").join(rows.select("row_key", "doc_id"), "row_key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("m"))
+    return rows.join(first.select(F.col("m.row_key").alias("row_key")), "row_key", "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, contamination.contamination(docs, benchmark).filter("not contaminated").select("doc_id"))
+    rows = _keyed(spark, docs)
+    clean = contamination.contamination(rows, benchmark, id_col="row_key").filter("not contaminated").select("row_key")
+    return rows.join(clean, "row_key", "left_semi").select(docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

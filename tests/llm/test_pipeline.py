@@ -33,3 +33,14 @@ def test_language_stage_rejects_by_the_code_and_needs_no_labels(spark):
     kept = lambda df: sorted(r.doc_id for r in corpus_pipeline.keep_languages(spark, df, "").collect())
     assert kept(docs) == list(range(200))
     assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == list(range(202))
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, other, third = "the house and road of the nice kettle is iron", "a lamp in the steam was red and then it was green", "no text is like this one in all of the corpus"
+    rows = [(None, one), (7, one), (3, one), (3, other), (3, f"see {item}"), (None, f"see {item} too"), (None, third), (None, third), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert pairs(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    assert pairs(corpus_pipeline.one_of_each_group(spark, docs.filter(~F.coalesce(F.col("text").contains(item), F.lit(False))), "")) == sorted([(3, one), (3, other), (None, third), (5, None)], key=str)
