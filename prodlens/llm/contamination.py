@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
 from .words import ALNUM, buffers, pieces, words
 
 #: Bytes of benchmark text in a block of queries, about (a longer item stands alone).
@@ -70,10 +70,9 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
     (sorted term hashes), only its terms have postings; positions count all words either way, with one
     unused position after each document, so that no phrase crosses two documents. A null text has no words.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             data, at = buffers(b.column(1))
             for lo, hi in pieces(data, at, SEGMENT_BYTES):
                 part = at[lo : hi + 1]
@@ -161,7 +160,7 @@ def matches(index: DataFrame, queries: Queries, near_span: int | None = None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for row in b.to_pylist():
                 s, out = Segment(row, queries.vocabulary), []
                 for p, items in zip(queries.phrases, queries.items, strict=True):
@@ -183,7 +182,7 @@ def _verdicts(index: DataFrame, queries: Queries) -> DataFrame:
     """For each document of the index (with `segment`): its segment and place there, id, n_words, the ranges of hit words and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for row in b.to_pylist():
                 s = Segment(row, queries.vocabulary)
                 docs, begins, ends = [], [], []

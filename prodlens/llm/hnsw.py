@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
 
 #: Distinct vectors in a shard, about; a shard is built in one task's memory.
 SHARD_ROWS = 8192
@@ -197,7 +197,6 @@ def build_index(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     left out, can return another.
     """
     rows = usable(df, id_col, vec_col)
-    small_batches(df.sparkSession, 4096)
     n = rows.count()
     shards = max(1, round(n / shard_rows))
     keyed = rows.select("k", "v", F.xxhash64("v").alias("h"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("s"), F.size("v").alias("d"))
@@ -205,7 +204,7 @@ def build_index(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each vector's ids in this partition the k + 1 smallest, so that no vector's copies meet in one task."""
         kept: dict[tuple, list] = {}
-        for b in batches:
+        for b in sliced(batches, 4096):
             cols = [b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()]
             for i, (key, h, s, d) in enumerate(zip(*cols, strict=True)):
                 own = kept.setdefault((h, s, d), [None, set()])
@@ -265,7 +264,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, width: int = SEARC
         sent = spark.sparkContext.broadcast(by_dim)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 for row in batch.to_pylist():
                     if row["dim"] not in sent.value:
                         continue
@@ -299,5 +298,4 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     """Index all rows of df, and search it for the queries. Empty tables give an empty table."""
     scratch = Scratch(df.sparkSession, "hnsw")
     index = scratch.keep(build_index(df, k, id_col, vec_col))
-    small_batches(df.sparkSession, 1)
     return search(index, queries, k, id_col=id_col, vec_col=vec_col)

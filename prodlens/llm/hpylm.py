@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
 from .words import NOT_SPACE, U64, buffers, mix, pieces, words
 
 #: Pairs, words and contexts with at least one in so many of all training tokens are scored without a shuffle.
@@ -287,7 +287,7 @@ def gathered(train: DataFrame, buckets: int) -> DataFrame:
             for b, s in ranges:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(w[s], ctx[s], c[s])], pa.binary())], names=["bucket", "data"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for _, _, hashed, doc in tokens(batch.column(0)):
                 ctx = context_of(hashed, doc)
                 fresh.append((pair_of(hashed, ctx), hashed, ctx, np.ones(len(hashed), np.int64)))
@@ -328,7 +328,7 @@ def context_totals(state: DataFrame, buckets: int) -> DataFrame:
     """Customers and tables of contexts: rows (bucket, data) for each word bucket's contexts, and for each context bucket's at bucket + 2 * buckets."""
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
                 b = Bucket.of_row(row)
                 c, t = b.in_context(b.c), b.in_context(b.t)
@@ -403,7 +403,7 @@ def tables(state: DataFrame, sent: DataFrame, totals: Totals, buckets: int) -> D
         return table(out)
 
     def of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for r in batch.to_pylist():
                 keys, c, t = unpack(r["data"], np.float64, np.float64)
                 own = Totals(c, t, 0.0, 0.0, 0.0, totals.discount)
@@ -451,7 +451,7 @@ def partial_scores(docs: DataFrame, lookup: DataFrame, totals: Totals, buckets:
 
         keys, logp, count = frequent.value[0]
         segment = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in sliced(batches):
             for lo, hi, hashed, doc in tokens(batch.column(1)):
                 segment += 1
                 ids, held = batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_pylist()
@@ -520,14 +520,12 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id
     scored. Without training rows all tokens are unknown and have probability 1. Ids are whole numbers.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "hpylm")
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), _is_held_out(id_col, folds, held).alias("held"))
     train = rows.filter("not held")
     size = train.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = min(1 << 14, size // (TOKEN_BYTES * BUCKET_TOKENS) + 1)
     first = scratch.keep(gathered(train, buckets))
-    small_batches(spark, 1)
     guess = totals_of(first)
     state = scratch.keep(resampled(first, guess, buckets))
     scratch.free(first)
@@ -535,7 +533,6 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id
     sent = scratch.keep(context_totals(state, buckets))
     lookup = scratch.keep(tables(state, sent, totals, buckets))
     scratch.free(state, sent)
-    small_batches(spark)
     parts = partial_scores(rows, lookup, totals, buckets, scratch)
     tokens_in, known = totals.tokens, int(totals.known)
     per_token = float(np.log10(tokens_in + known + 1))

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .scratch import small_batches
+from .scratch import sliced
 
-#: Documents of each language that the classifiers are fitted on, about, and languages at most.
-SAMPLE, LANGUAGES = 500, 200
+#: Documents of each language that the classifiers are fitted on, about; fewer of each where there are so many languages that
+#: they would be more than LARGEST_SAMPLE together, which bounds the one task that fits.
+SAMPLE, LARGEST_SAMPLE = 500, 20_000
 #: Besides each whole sampled text, a piece of it of this many bytes is learned, so that short texts are known.
 PIECE_BYTES = 60
 #: Texts whose best two languages' shares are closer are ambiguous.
@@ -51,7 +52,8 @@ class Model:
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: the language's number, its share, the share's lead over the next, and its codeword's loss."""
         margins = np.clip(4 * ngrams.applied(ngrams.scaled(counts), self.weights), -30, 30)
-        losses = np.log1p(np.exp(-margins[:, None, :] * self.code[None])).mean(2)
+        plus = self.code.T > 0
+        losses = (np.log1p(np.exp(-margins)) @ plus + np.log1p(np.exp(margins)) @ ~plus) / len(plus)
         e = np.exp(6 * (losses.min(1, keepdims=True) - losses))
         share = e / e.sum(1, keepdims=True)
         ranked = np.sort(share, 1)
@@ -64,37 +66,54 @@ def _held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Classifiers fitted on about SAMPLE documents of each language, chosen by a hash; None without a labelled text."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), _held_out(id_col).alias("h")).filter("not h and t is not null and l is not null")
-    counts = sorted((r.l, r.n) for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    """Classifiers fitted on about SAMPLE documents of each language, chosen by a hash; None without a labelled text.
+
+    One task fits them, so that the driver gets the weights alone. All languages are learned, however many there are.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), _held_out(id_col).alias("h")).filter("not h and t is not null and l is not null")
+    counts = rows.groupBy("l").agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
-    share = F.coalesce(*(F.when(F.col("l") == lang, min(1.0, SAMPLE / n)) for lang, n in counts), F.lit(0.0))
-    chosen = rows.filter(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.encode()[:] for x in b.column(1).to_pylist()]
-            start = [hash_ % max(1, len(x) - PIECE_BYTES) for hash_, x in zip((len(x) * 7919 for x in texts), texts, strict=True)]
+    most = max(1, min(SAMPLE, LARGEST_SAMPLE // len(counts)))
+    share = spark.createDataFrame([(r.l, min(1.0, most / r.n)) for r in counts], "l string, share double")  # a row for each language
+    chosen = rows.join(F.broadcast(share), "l").filter(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("l", "t", "k")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = [x.encode() for x in b.column(1).to_pylist()]
+            start = [len(x) * 7919 % max(1, len(x) - PIECE_BYTES) for x in texts]
             parts = pa.array([x[s : s + PIECE_BYTES].decode(errors="ignore") for x, s in zip(texts, start, strict=True)], pa.string())
-            for t in (b.column(1), parts):
-                x = ngrams.counts(t).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "x"])
-
-    got = chosen.mapInArrow(run, "l string, x binary").toArrow()
-    labels = got["l"].to_pylist()
-    order = np.argsort(np.array([f"{a}" for a in labels]), kind="stable")
-    x = ngrams.scaled(np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, ngrams.DIM))[order]
-    labels = [labels[i] for i in order]
-    some = x.any(1)
-    languages = sorted({a for a, s in zip(labels, some, strict=True) if s})
-    if not languages:
+            for kind, t in enumerate((b.column(1), parts)):
+                x = ngrams.scaled(ngrams.counts(t)).astype(np.float32)
+                at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int32()), b.column(0), pa.array([f"{k}/{kind}" for k in b.column(2).to_pylist()]), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], names=["one", "l", "k", "at", "x"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.filter(pc.greater(pc.binary_length(table["at"]), 0)).sort_by([("l", "ascending"), ("k", "ascending"), ("x", "ascending")])
+        names = sorted(set(table["l"].to_pylist()))
+        if not names:
+            return pa.table({"names": pa.array([], pa.list_(pa.string())), "weights": pa.array([], pa.binary())})
+        own = np.searchsorted(names, table["l"].to_pylist())
+        weight, code = (len(own) / len(names) / np.bincount(own, minlength=len(names)))[own], codewords(len(names))
+        gram, right = np.zeros((ngrams.DIM + 1, ngrams.DIM + 1)), np.zeros((ngrams.DIM + 1, code.shape[1]))
+        for lo in range(0, len(own), 1024):
+            part = table.slice(lo, 1024)
+            x = np.zeros((len(part), ngrams.DIM + 1))
+            x[:, -1] = 1
+            for r, (at, v) in enumerate(zip(part["at"].to_pylist(), part["x"].to_pylist(), strict=True)):
+                x[r, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float32)
+            xw = x.T * weight[lo : lo + len(part)]
+            gram += xw @ x
+            right += xw @ code[own[lo : lo + len(part)]]
+        weights = np.linalg.solve(gram + 2.0 * np.eye(len(gram)), right).astype(np.float32)
+        return pa.table({"names": pa.array([names], pa.list_(pa.string())), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    got = chosen.mapInArrow(features, "one int, l string, k string, at binary, x binary").groupBy("one").applyInArrow(learn, "names array<string>, weights binary").first()
+    if got is None:
         return None
-    x, own = x[some], np.array([languages.index(a) for a, s in zip(labels, some, strict=True) if s])
-    code = codewords(len(languages))
-    weight = (1 / np.bincount(own, minlength=len(languages)))[own] * len(own) / len(languages)
-    return Model(languages, code, ngrams.ridge(x, code[own], weight, 2.0).astype(np.float32))
+    code = codewords(len(got.names))
+    return Model(list(got.names), code, np.frombuffer(bytes(got.weights), np.float32).reshape(-1, code.shape[1]))
 
 
 def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", far: float | None = None) -> DataFrame:
@@ -104,13 +123,12 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     with `far`, one whose loss is more than that with every language.
     Columns of those names are replaced.
     """
-    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
     where = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(where)
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if model is None:

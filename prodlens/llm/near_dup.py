@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
 from .words import NOT_SPACE, U64, buffers, mix, pieces, words
 
 WIDTH = 5
@@ -74,10 +74,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def document_signatures(docs: DataFrame) -> DataFrame:
     """k, n (set size), two hashes of the set, signature; of rows (k, t)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = list(shingle_sets(b.column(1)))
             n = np.array([len(s) for s in sets], np.int64)
             h = np.zeros((2, len(sets)), U64)
@@ -98,7 +97,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
     """(band, c, n, copies): one row for each of a class's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4096):
             sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U64)
             key = np.arange(BANDS, dtype=U64)[None] * FACTORS[1]
             for r in range(ROWS):
@@ -121,7 +120,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = pairs.join(sig, "c").withColumnRenamed("sig", "s1").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s2")), "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4096):
             a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for i in (3, 4))
             yield b.select(["p", "c", "n"]).filter(pa.array((a == z).mean(1) >= LEAST_AGREEMENT))
 

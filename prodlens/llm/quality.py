@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Labelled documents and unlabelled pool documents that the classifiers are fitted on, about.
 LABELLED, POOL = 3000, 3000
@@ -118,7 +118,6 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model | None:
     """Co-train on about LABELLED labelled and POOL other documents, chosen by a hash of the id."""
-    small_batches(docs.sparkSession, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n")).filter("k is not null")
     known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).filter("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
     at = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 20))
@@ -129,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model
     chosen = rows.join(some, "k").unionByName(rows.filter(at >= (1 << 20) - (1 << 20) * min(0.5, POOL / n_rows)).join(some.select("k"), "k", "left_anti").withColumn("y", F.lit(None).cast("int")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 256):
             t, m = text_view(b.column(1)), meta_view(*(b.column(i).to_pylist() for i in (2, 3, 4)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["k", "y", "t", "m"])
 
@@ -148,11 +147,10 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
 
     A null or empty text, source, language or length is a value like any other. Repeated rows get equal scores.
     """
-    small_batches(docs.sparkSession, 256)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 256):
             if model is None:
                 parts = [np.full(b.num_rows, 0.5)] * 3
             else:

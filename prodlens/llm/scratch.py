@@ -7,9 +7,14 @@ checkpoint(), doesn't compute its input twice.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark delete a query's shuffle files when the query has ended, instead of when the driver collects its garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests), one in the warehouse."""
@@ -31,10 +36,18 @@ class Scratch:
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
+        """Write df and read it back. The shuffle files that it took are deleted, as nothing reads them again."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES, None)
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN_SHUFFLES)
+            else:
+                self.spark.conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -46,6 +59,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts can be long: fewer rows in an Arrow batch keep the Python workers' memory bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most `rows`. Texts can be long: few of them at a time keep a Python worker's memory bounded.
+
+    Spark itself bounds the bytes of a batch, so no session setting is needed, nor changed.
+    """
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

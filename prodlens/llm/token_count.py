@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Fixed value: how byte-level vocabularies split a text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,11 +105,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     A null text counts as empty: no bytes, no tokens. Rows with equal or null ids are counted one by one;
     other columns are not read, whatever their names. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).fill_null("")
             tokens = pa.array((m.count(t.as_py()) for t in texts), pa.int64())
             size = pc.binary_length(texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())).cast(pa.int64())

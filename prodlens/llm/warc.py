@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -173,7 +173,6 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 def write_archives(records: DataFrame, dictionary: bytes, date: str) -> DataFrame:
     """Archives (path, content) of rows (record_id, uri, payload string, refers_to); a row with refers_to is a revisit."""
-    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,7 +182,7 @@ def write_archives(records: DataFrame, dictionary: bytes, date: str) -> DataFram
         def archive() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.zst"]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
 
-        for b in batches:
+        for b in sliced(batches):
             for rid, uri, text, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 frame = pack.compress(record("revisit" if to else "response", rid, uri, (text or "").encode(), date, to))
                 out.append(frame)
@@ -203,13 +202,12 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     payload is the stored payload (null for a revisit, or with payloads=False); payload_bytes is the stored payload's
     length and null for a revisit.
     """
-    small_batches(archives.sparkSession, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORDS.split(", ")])
-        for b in batches:
+        for b in sliced(batches, 1):
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
                 for r in read_archive(content):

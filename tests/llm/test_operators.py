@@ -262,6 +262,28 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_many_languages(spark):
+    """More languages than have all splits as codewords; rows of each language share the sample."""
+    vocabulary = {f"l{i}": ["".join(random.Random(100 * i + j).choices("abcdefghijklmnopqrstuvwxyz", k=5)) for j in range(12)] for i in range(30)}
+    r = random.Random(8)
+    data = [(i, " ".join(r.choices(vocabulary[f"l{i % 30}"], k=25)), f"l{i % 30}") for i in range(900)]
+    got = rows(language_id.languages(spark.createDataFrame(data, "doc_id long, text string, lang string")), "doc_id")
+    held = [i for i in got if got[i].held_out]
+    assert len(held) > 100 and sum(got[i].lang_pred == f"l{i % 30}" for i in held) >= 0.97 * len(held)
+
+
+def test_language_losses_as_written_out():
+    """The decoder against the loss of each bit of each codeword."""
+    r = np.random.default_rng(4)
+    code = language_id.codewords(5)
+    m = language_id.Model(list("abcde"), code, r.normal(size=(ngrams.DIM + 1, code.shape[1])).astype(np.float32))
+    x = r.integers(0, 3, (20, ngrams.DIM)).astype(np.float32)
+    margins = np.clip(4 * ngrams.applied(ngrams.scaled(x), m.weights), -30, 30)
+    losses = np.array([[np.mean([math.log1p(math.exp(-v * c)) for v, c in zip(row, word)]) for word in code] for row in margins])
+    best, _, _, loss = m.predict(x)
+    assert (best == losses.argmin(1)).all() and np.allclose(loss, losses.min(1), rtol=1e-5)
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 7, 12, 40):
         c = language_id.codewords(n)
