@@ -4,9 +4,10 @@ Documents are sets of distinct five-word shingles. Equal sets are one class from
 share a band of universal-hash minima meet in a bucket, and each bucket is compared in two rounds:
 
 1. every member with one pivot of the bucket, the class with most copies (signatures first, then full sets);
-2. where a bucket still holds several components, all members of different components, block by block.
+2. where a bucket still holds several components, members of different components, by signatures block by block; the pairs
+   that agree are compared on full sets.
 
-Links are confirmed on full sets. Nothing but a bucket of several components is ever compared pair by pair, in
+Links are confirmed on full sets. Nothing but a bucket of several components is ever compared pair by pair, by signatures in
 blocks of bounded size, and a component's inner pairs never are; links of a class go through its representative.
 With 32 bands of 4 rows, a pair of similarity 0.75 meets in no bucket with probability 5e-6.
 """
@@ -124,7 +125,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for i in (3, 4))
             yield b.select(["p", "c", "n"]).filter(pa.array((a == z).mean(1) >= LEAST_AGREEMENT))
 
-    return both.select("p", "c", "n", "s1", "s2").mapInArrow(run, "p long, c long, n long")
+    return both.select("p", "c", "n", "s1", "s2").mapInArrow(run, "p long, c long, n long").distinct()
 
 
 def linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -142,60 +143,49 @@ def star_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         ids = np.array(table["c"].to_pylist(), np.int64)
         p = table["p"][0].as_py()
         sets = list(shingle_sets(table["t"]))
-        pivot = sets[int(np.flatnonzero(ids == p)[0])]
-        at = lambda s: np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
-        ok = [i for i, s in zip(ids.tolist(), sets, strict=True) if i != p and linked((pivot[at(s)] == s).sum(), len(s), len(pivot))]
+        pivots = [sets[i] for i in np.flatnonzero(ids == p)]  # several where rows of one id have different texts
+        common = lambda s, pivot: (pivot[np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)] == s).sum()
+        ok = [i for i, s in zip(ids.tolist(), sets, strict=True) if i != p and len(s) and any(len(x) and linked(common(s, x), len(s), len(x)) for x in pivots)]
         return pa.table({"a": pa.array([p] * len(ok), pa.int64()), "b": pa.array(ok, pa.int64())})
 
     return texts.groupBy("p", "block").applyInArrow(run, "a long, b long")
 
 
-def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between members (band, c, comp, n) of different components of one bucket, confirmed on full sets.
+def block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (p, c, n) of members (band, c, comp, n) of one bucket but of different components whose signatures agree in enough places.
 
-    A bucket's members are dealt to blocks, and each pair of blocks is one group; of the links that a member has with
-    another component one is returned, which joins the two.
+    A bucket's members are dealt to blocks, and each pair of blocks is one group; n is the size of c's set.
     """
-    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     own = members.join(_small(sizes), "band").withColumn("x", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    rows = own.select("band", "c", "comp", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    rows = rows.select("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "c", "comp")
-    texts = docs.join(_small(rows), docs.k == rows.c).select("band", "i", "j", "x", "c", "comp", "t")
+    rows = own.select("band", "c", "comp", "n", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    rows = rows.select("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "c", "comp", "n")
+    signed = classes.select("c", "sig").join(_small(rows), "c").select("band", "i", "j", "x", "c", "comp", "n", "sig")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side = (np.array(table[c].to_pylist(), np.int64) for c in ("c", "comp", "x"))
-        sets = list(shingle_sets(table["t"]))
-        size = np.array([len(s) for s in sets])
-        flat, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(flat, kind="stable")
-        flat, whose = flat[order], whose[order]
-        values, counts = np.unique(comp, return_counts=True)
-        common = values[counts.argmax()]
+        ids, comp, side, n = (np.array(table[c].to_pylist(), np.int64) for c in ("c", "comp", "x", "n"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
-        a: list[int] = []
-        b: list[int] = []
+        values, counts = np.unique(comp, return_counts=True)
+        common, a, b = values[counts.argmax()], [], []
         for m in np.flatnonzero(comp != common).tolist():  # of two different components one is not the most common
-            lo, hi = np.searchsorted(flat, sets[m]), np.searchsorted(flat, sets[m], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            inter = np.bincount(whose[at], minlength=len(sets))
-            ok = linked(inter, size[m], size) & (comp != comp[m])
+            ok = (comp != comp[m]) & ((sig == sig[m]).mean(1) >= LEAST_AGREEMENT)
             if not one_block:
                 ok &= side != side[m]
-            found = np.flatnonzero(ok)
-            for f in found[np.unique(comp[found], return_index=True)[1]].tolist():
-                a.append(int(ids[m]))
-                b.append(int(ids[f]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found = np.flatnonzero(ok).tolist()
+            a += [m] * len(found)
+            b += found
+        return pa.table({"p": pa.array(ids[a]), "c": pa.array(ids[b]), "n": pa.array(n[b])})
 
-    return texts.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+    found = signed.groupBy("band", "i", "j").applyInArrow(run, "p long, c long, n long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable through links, itself included), kept (id = component_id).
 
     Texts that are null or without words have the empty set and link with nothing; a null id has a null component, is
-    kept, and links with nothing. Rows that repeat an id each count. Ids are whole numbers. An empty table gives an
+    kept, and links with nothing. Rows that repeat an id each count; where their texts differ, each one's links are the id's. Ids are whole numbers. An empty table gives an
     empty table, and columns other than the two are not read.
     """
     spark = docs.sparkSession
@@ -219,12 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = scratch.keep(met.join(joined, met.c == joined.u, "left").select("band", "c", "n", comp))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
     mixed = scratch.keep(mixed)
-    more = scratch.keep(block_links(scratch.keep(placed.join(mixed, "band", "left_semi")), texts))
+    members = scratch.keep(placed.join(mixed, "band", "left_semi"))
+    agreed = scratch.keep(block_pairs(members, classes))
+    scratch.free(met, placed, mixed, members)
+    more = scratch.keep(star_links(agreed, texts))
     final = components(links.union(more), scratch)
-    scratch.free(met, placed, mixed, links, more)
+    scratch.free(joined, agreed, links, more)
 
     of_class = classes.join(final, classes.c == final.u, "left").select("h1", "h2", F.coalesce("v", "c").alias("component"))
     grouped = some.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"]).select("k", "n", "component")
     alone = signed.filter("n = 0 or k is null").select("k", "n", F.col("k").alias("component"))
-    out = grouped.unionAll(alone)
+    out = scratch.keep(grouped.unionAll(alone))
+    scratch.free(signed, classes, final)
     return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"))

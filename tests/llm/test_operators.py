@@ -85,6 +85,14 @@ def test_near_duplicates_as_brute_force(spark, monkeypatch):
         assert all(got[i].n_shingles == len(shingles(t)) and got[i].kept == (expected[i] == i) for i, t in enumerate(texts))
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each text's links are links of the id."""
+    a, b, c = prose(20, 90), prose(21, 90), prose(22, 90)
+    rows_ = [(9, a), (9, b), (5, a + " end"), (7, b + " end"), (8, c)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (7, 5), (8, 8), (9, 5), (9, 5)]
+
+
 def test_chained_links_reach_the_smallest_id(spark):
     texts = [prose(3, 300)]
     for i in range(12):
@@ -234,6 +242,22 @@ def pseudonymised(df):
     return pseudonyms.pseudonymise(df, "k").collect()
 
 
+def test_pseudonyms_of_long_odd_texts(spark):
+    """Neither ends the worker nor takes quadratic time; a card among very many numbers is found."""
+    texts = ["x@" + "a." * 100_000 + "com", "7" * 1_000_000, "12 " * 100_000, "1234 " * 20_000 + CARD, "a@" * 50_000, "AB12 " * 20_000, "password=" * 20_000, "+49 " * 30_000, "1." * 100_000]
+    got = rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").transform(lambda d: pseudonyms.pseudonymise(d, "k")), "doc_id")
+    assert got[1].text == texts[1] and got[2].text == texts[2]
+    assert len(got[3].text) == len(texts[3]) and not got[3].text.endswith(CARD)
+
+
+def test_pseudonyms_can_be_undone(spark):
+    texts = [PERSONAL, f"{CARD} 12/26 and {IBAN} EUR", "on 3/4/2020, 04-03-2020 and 5 March 2020 or Mar 5, 2020", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    there = pseudonyms.pseudonymise(docs, "k")
+    back = rows(pseudonyms.pseudonymise(there, pseudonyms.Undo("k")), "doc_id")
+    assert [back[i].text for i in range(len(texts))] == texts and rows(there, "doc_id")[0].text != texts[0]
+
+
 def test_text_permutation_is_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     assert df.select(pseudonyms.permuted_text(F.col("x"), "key", "x").alias("y")).distinct().count() == 1000
@@ -368,19 +392,43 @@ def test_mixing_reaches_targets(spark):
 
 
 def test_mixing_as_plain_gradient(spark):
-    """The grouped steps against projected gradient over single documents."""
-    p = np.array([[0.8, 0.2], [0.8, 0.2], [0.1, 0.9], [0.5, 0.5]])
-    t, goal = np.array([10.0, 5.0, 40.0, 20.0]), np.array([0.6, 0.4])
-    r, shares = np.ones(4), None
+    """The steps over cells against projected gradient over single documents."""
+    cells = np.array([[0.8, 0.2], [0.1, 0.9], [0.5, 0.5]])
+    own = [[(None, 10.0), (0, 5.0)], [(1, 40.0), (None, 3.0)], [(0, 20.0), (1, 7.0)]]
+    one_hot = lambda d: np.eye(2)[d]
+    p = np.array([c if d is None else 0.1 * c + 0.9 * one_hot(d) for c, labels in zip(cells, own) for d, _ in labels])
+    t, goal = np.array([x for labels in own for _, x in labels]), np.array([0.6, 0.4])
+    r, shares = np.ones(6), None
     for _ in range(mixing.STEPS):
-        m = (r * t) @ p / t.sum()
+        m = (r * t) @ p
+        m = m / m.sum()
         shares = m if shares is None else shares
         r = np.maximum(0, r - p @ ((m - goal) / shares))
-    df = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(p, t)], "p array<double>, tokens double")
-    got = [x.r for x in df.select(mixing.fitted(df, ["x", "y"], {"x": 0.6, "y": 0.4}).alias("r")).collect()]
+    df = spark.createDataFrame([(i, x.tolist(), o) for i, (x, o) in enumerate(zip(cells, own))], "i int, p array<double>, own array<struct<d:int,tokens:double>>")
+    got = [x["r"] for row in df.select("i", mixing.fitted(df, ["x", "y"], {"x": 0.6, "y": 0.4}).alias("r")).orderBy("i").collect() for x in row.r]
     assert np.allclose(got, r, atol=1e-6)
 
 
+def test_mixing_posteriors_as_brute_force(spark):
+    r = random.Random(6)
+    rows_ = [(f"l{r.randrange(3)}", r.randrange(4), r.randrange(2), r.choice(["a", "b", "c", None]), 1 + r.randrange(50), 1 + r.randrange(5)) for _ in range(60)]
+    groups = spark.createDataFrame(rows_, "f_lang string, f_size int, f_caps int, mix_domain string, tokens long, n long").groupBy("f_lang", "f_size", "f_caps", "mix_domain").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
+    got = {(x.f_lang, x.f_size, x.f_caps): x.p for x in mixing.posteriors(groups, spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "d int, mix_domain string")).collect()}
+    assert set(got) == {x[:3] for x in rows_}
+    count = lambda d, k=None, v=None: sum(x[5] for x in rows_ if x[3] == d and (k is None or x[k] == v))
+    for cell, p in got.items():
+        s = np.array([math.log(count(d)) + sum(math.log((count(d, k, v) + 1) / (count(d) + len({x[k] for x in rows_}))) for k, v in enumerate(cell)) for d in "abc"])
+        assert np.allclose(p, np.exp(s - s.max()) / np.exp(s - s.max()).sum())
+
+
+def test_mixing_with_clashing_names_and_many_domains(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20), "en", f"s{i % 150}") for i in range(450)], "doc_id long, text string, lang string, source string")
+    extra = {n: F.lit(i) for i, n in enumerate(["f_lang", "f_size", "f_caps", "mix_note", "mix_domain", "at_domain", "d", "p", "own", "r", "rate_domain", "mix_rate"])}
+    got = mixing.mixed(docs.withColumns(extra)).collect()
+    assert len(got) == 450 and (got[0].f_lang, got[0].mix_note, got[0].mix_domain, got[0].r) == (0, 3, 4, 9)
+    assert all(x.mix_rate >= 0 for x in got)
+
+
 def test_archives_round_trip(spark):
     html = ["<p>same</p>", None, "<p>same</p>", "", "<b>é\r\n\r\nx</b>", "<p>same</p>", "y" * 200_000]
     pages = spark.createDataFrame([(i, f"http://h/{i}" if i % 2 else None, h, "clash") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
