@@ -39,6 +39,7 @@ class Queries:
     vocabulary: np.ndarray  # sorted hashes of all terms
     phrases: list[np.ndarray] = field(default_factory=list)  # term numbers of each distinct phrase
     items: list[list[str]] = field(default_factory=list)  # ids of the items that hold it
+    by_term: dict[int, list[int]] = field(default_factory=dict)  # phrases of which the term is the one in fewest phrases
 
     @staticmethod
     def of(ids: list, texts: list[str | None], window: int) -> Queries:
@@ -60,8 +61,17 @@ class Queries:
                     out.items.append([])
                 if not out.items[n] or out.items[n][-1] != str(name):
                     out.items[n].append(str(name))
+        uses = np.bincount(np.concatenate([np.unique(p) for p in out.phrases]), minlength=len(vocabulary)) if out.phrases else []
+        for n, p in enumerate(out.phrases):
+            out.by_term.setdefault(int(p[np.argmin(uses[p])]), []).append(n)
         return out
 
+    def possible(self, segment: Segment) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """The phrases, with their items, whose least used term the segment has; all others cannot occur there."""
+        for t in segment.lists:
+            for n in self.by_term.get(t, ()):
+                yield self.phrases[n], self.items[n]
+
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of the positional index over whole texts: one row for about 2 MB of text, or for one longer text.
@@ -163,7 +173,7 @@ def matches(index: DataFrame, queries: Queries, near_span: int | None = None) ->
         for b in sliced(batches, 1):
             for row in b.to_pylist():
                 s, out = Segment(row, queries.vocabulary), []
-                for p, items in zip(queries.phrases, queries.items, strict=True):
+                for p, items in queries.possible(s):
                     found = [("exact", x) for x in s.phrase(p).tolist()]
                     if near_span is not None:
                         found += [("near", x) for x in s.near(p, near_span).tolist()]
@@ -187,7 +197,7 @@ def _verdicts(index: DataFrame, queries: Queries) -> DataFrame:
                 s = Segment(row, queries.vocabulary)
                 docs, begins, ends = [], [], []
                 items: dict[int, set[str]] = {}
-                for p, own in zip(queries.phrases, queries.items, strict=True):
+                for p, own in queries.possible(s):
                     if len(x := s.phrase(p)):
                         d = s.doc(x)
                         docs.append(d)
@@ -245,10 +255,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     index = scratch.keep(index.withColumn("segment", F.monotonically_increasing_id()))
     out = [_verdicts(index, queries) for queries in itertools.chain(some, rest)]
     if len(out) == 1:
-        found = out[0].withColumn("n_hit", _union_length(F.col("spans")))
+        found = out[0].withColumn("n_hit", _union_length(F.col("spans"))).drop("spans")
     else:
         union = out[0]
         for o in out[1:]:
             union = union.unionAll(o)
         found = union.groupBy("segment", "place").agg(F.first("k").alias("k"), F.max("n_words").alias("n_words"), _union_length(F.flatten(F.collect_list("spans"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = scratch.keep(found)
+    scratch.free(index)
     return found.select(F.col("k").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
