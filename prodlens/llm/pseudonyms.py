@@ -23,9 +23,10 @@ ROUNDS = 8
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 MONTH = "(?:" + "|".join(MONTHS + [m[:3] for m in MONTHS if m != "May"]) + ")"
 
-#: What is looked for, in order of precedence at the same place. Validation follows below.
+#: What is looked for, in order of precedence at the same place. Validation follows below. Loops are possessive or
+#: bounded (a domain has at most 127 labels), as others recurse once for each turn and end on long texts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,126}[A-Za-z]{2,24}",
     "aws": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"\b(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-./+]{6,128}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -35,7 +36,7 @@ PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"(?:\+1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}\b|(?:\+1[ .\-])?\b\d{3}[.\-]\d{3}[.\-]\d{4}\b|\+1 \d{3} \d{3} \d{4}\b",
     "intl_phone": r"\+(?:[2-9]\d{0,2})(?:[ .\-]?\(?\d{1,4}\)?){2,5}",
-    "card": r"\b\d(?:[ \-]?\d){12,}\b",
+    "card": r"\b(?=\d(?:[ \-]?\d){12})\d++(?!\w)(?:[ \-]\d++(?!\w))*+",
     "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -46,6 +47,10 @@ IBAN_GROUPS = r"^[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-
 FIRST_DAY, DAYS, DAY_SPLIT = -25567, 73049, 4297
 
 
+class Undo(str):
+    """A key with which pseudonyms become the values again that they stand for."""
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -58,11 +63,16 @@ def permuted_number(x: Column, m1: int, m2: int, key: str, label: str) -> Column
     def round_(s: Column, i: Column) -> Column:
         # The round's number is part of the hashed text, so one expression serves all rounds.
         keyed = lambda v: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}/{label}/{m1}/{m2}/"), i.cast("string"), F.lit("/"), v.cast("string")), 256), 1, 14), 16, 10).cast("long")
-        even = F.struct(F.pmod(s["a"] + keyed(s["b"]), F.lit(m1)).alias("a"), s["b"].alias("b"))
-        odd = F.struct(s["a"].alias("a"), F.pmod(s["b"] + keyed(s["a"]), F.lit(m2)).alias("b"))
+        moved = (lambda x, by: x - by) if isinstance(key, Undo) else (lambda x, by: x + by)
+        even = F.struct(F.pmod(moved(s["a"], keyed(s["b"])), F.lit(m1)).alias("a"), s["b"].alias("b"))
+        odd = F.struct(s["a"].alias("a"), F.pmod(moved(s["b"], keyed(s["a"])), F.lit(m2)).alias("b"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), pair, round_), lambda s: s["a"] * m2 + s["b"])
+    return _let(F.aggregate(_rounds(2 * ROUNDS, key), pair, round_), lambda s: s["a"] * m2 + s["b"])
+
+
+def _rounds(n: int, key: str) -> Column:
+    return F.array(*map(F.lit, range(n)[::-1] if isinstance(key, Undo) else range(n)))
 
 
 def _shifted(half: Column, other: Column, key: str, label: str, i: Column) -> Column:
@@ -71,7 +81,7 @@ def _shifted(half: Column, other: Column, key: str, label: str, i: Column) -> Co
     stream = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int")), F.lit(""), lambda s, n: F.concat(s, F.sha2(F.concat(seed, F.lit("/"), n.cast("string")), 256)))
 
     def moved(c: Column, n: Column, s: Column) -> Column:
-        step = F.conv(F.substring(s, n * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        step = F.conv(F.substring(s, n * 2 + 1, F.lit(2)), 16, 10).cast("int") * (-1 if isinstance(key, Undo) else 1)
         within = lambda base, size: F.char(F.pmod(F.ascii(c) - base + step, F.lit(size)) + base)
         return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
 
@@ -88,7 +98,7 @@ def permuted_text(x: Column, key: str, label: str) -> Column:
         odd = F.struct(s["a"].alias("a"), _shifted(s["b"], s["a"], key, label, i).alias("b"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, round_), lambda s: F.concat(s["a"], s["b"]))
+    return _let(F.aggregate(_rounds(ROUNDS, key), pair, round_), lambda s: F.concat(s["a"], s["b"]))
 
 
 def _digits(x: Column) -> Column:
@@ -249,21 +259,30 @@ def _in_parts(x: Column, key: str) -> Column:
     """x with the cards and IBANs among its runs of groups replaced, from the left, the longest first, and other kinds in what is left."""
     groups = F.regexp_extract_all(x, F.lit("([^ \\-]+|[ \\-])"), 1)
     one = lambda c: F.coalesce(F.when(c.rlike(CARD_GROUPS), _card(c, key)), F.when(c.rlike(IBAN_GROUPS), _iban(c, key)))
-    part = "array<struct<t:string,ok:boolean>>"
 
-    def step(s: Column, i: Column, g: Column) -> Column:
-        sizes = F.sequence(F.least(F.size(g) - i + 1, F.lit(17)), F.lit(1), F.lit(-1))
-        made = F.filter(F.transform(sizes, lambda n: F.struct(one(F.array_join(F.slice(g, i, n), "")).alias("t"), n.alias("n"))), lambda c: c["t"].isNotNull())
-        own = F.element_at(g, i)
-        use = lambda m: F.when(F.size(m) > 0, F.struct(F.concat(s["parts"], F.array(F.struct(s["left"].alias("t"), F.lit(False).alias("ok")), F.struct(m[0]["t"].alias("t"), F.lit(True).alias("ok")))).alias("parts"), F.lit("").alias("left"), (i + m[0]["n"]).alias("next"))).otherwise(F.struct(s["parts"].alias("parts"), F.concat(s["left"], own).alias("left"), s["next"].alias("next")))
-        return F.when(i < s["next"], s).otherwise(_let(made, use))
+    def candidates(g: Column) -> Column:
+        """Where a card or IBAN starts, how many groups the longest there has, and what it becomes."""
+
+        def at(i: Column) -> Column:
+            sizes = F.sequence(F.least(F.size(g) - i + 1, F.lit(17)), F.lit(1), F.lit(-1))
+            made = F.filter(F.transform(sizes, lambda n: F.struct(one(F.array_join(F.slice(g, i, n), "")).alias("t"), n.alias("n"))), lambda c: c["t"].isNotNull())
+            return _let(made, lambda m: F.when(F.size(m) > 0, F.struct(i.alias("i"), m[0]["n"].alias("n"), m[0]["t"].alias("t"))))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.element_at(g, i).rlike("^(?:\\d{4,19}|[A-Z]{2}\\d{2}.*)$"))
+        return F.filter(F.transform(starts, at), lambda c: c.isNotNull())
+
+    def chosen(g: Column) -> Column:
+        """Those from the left that do not overlap, each with where the one before ends; last an empty one after the end."""
+        start = F.struct(F.array().cast("array<struct<i:int,n:int,t:string,since:int>>").alias("c"), F.lit(1).alias("next"))
+        put = lambda s, c: F.struct(F.concat(s["c"], F.array(F.struct(c["i"].alias("i"), c["n"].alias("n"), c["t"].alias("t"), s["next"].alias("since")))).alias("c"), (c["i"] + c["n"]).alias("next"))
+        end = F.array(F.struct((F.size(g) + 1).alias("i"), F.lit(0).alias("n"), F.lit("").alias("t")))
+        return F.aggregate(F.concat(candidates(g), end), start, lambda s, c: F.when(c["i"] >= s["next"], put(s, c)).otherwise(s))["c"]
 
-    start = F.struct(F.array().cast(part).alias("parts"), F.lit("").alias("left"), F.lit(1).alias("next"))
     others = [k for k in PATTERNS if k not in PARTLY]
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in others)
-    all_parts = lambda g: _let(F.aggregate(F.sequence(F.lit(1), F.size(g)), start, lambda s, i: step(s, i, g)), lambda s: F.concat(s["parts"], F.array(F.struct(s["left"].alias("t"), F.lit(False).alias("ok")))))
-    rest = lambda t: _joined(t, pattern, lambda y: F.coalesce(_first_kind(y, key, others), y))
-    return F.array_join(F.transform(_let(groups, all_parts), lambda p: F.when(p["ok"] | (p["t"] == ""), p["t"]).otherwise(rest(p["t"]))), "")
+    rest = lambda t: F.when(t == "", t).otherwise(_joined(t, pattern, lambda y: F.coalesce(_first_kind(y, key, others), y)))
+    part = lambda g, c: F.concat(_let(F.array_join(F.slice(g, c["since"], c["i"] - c["since"]), ""), rest), c["t"])
+    return _let(groups, lambda g: F.array_join(F.transform(chosen(g), lambda c: part(g, c)), ""))
 
 
 def pseudonym(found: Column, key: str) -> Column:
@@ -289,6 +308,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """All columns and rows of docs, with personal data in text_col replaced by format-preserving pseudonyms.
 
     Null texts stay null and empty ones empty. Repeated rows get equal results. Strings that look like a kind
-    but do not validate (a wrong check digit, the 31st of February) stay as they are.
+    but do not validate (a wrong check digit, the 31st of February) stay as they are; an e-mail's domain stays in any case.
+    With Undo(key), pseudonyms become the values that they stand for; only dates whose pseudonym reads day first, though the date
+    could only be read month first, do not come back.
     """
     return docs.withColumn(text_col, replaced(F.col(text_col), key))
