@@ -175,20 +175,79 @@ SPECIFIC_KEYWORDS = [
     "cooktop", "refrigerator", "dishwasher", "oven", "laptop", "phone", "tablet", "television", "camera",
 ]
 
-# Default of a parameter: a small category dictionary in order of precedence. A fuller one is given as a table.
+# Categories in order of precedence, each with its keywords.
 CATEGORIES = {
-    "Food": ["food", "snack", "candy", "chocolate", "biscuit", "cookie", "chips", "hard candy", "vanilla"],
-    "Drinkware": ["cup", "mug", "tumbler", "drinkware", "wine glass", "coffee cup", "glassware"],
-    "Apparel": ["apparel", "clothing", "shirt", "dress", "jacket", "hoodie", "sweater", "bike short", "swimwear"],
-    "Footwear": ["footwear", "shoe", "boot", "sneaker", "sandal"],
-    "Furniture": ["furniture", "table", "chair", "sofa", "desk", "bench", "stool"],
-    "Appliance": ["appliance", "cooktop", "oven", "dishwasher", "refrigerator", "microwave oven"],
-    "Cookware": ["cookware", "pan", "pot", "skillet", "wok", "stock pot"],
-    "Hardware": ["hardware", "handle", "lock", "hinge", "bolt", "knob", "tap"],
-    "Lighting": ["lighting", "lamp", "bulb", "pendant", "downlight"],
-    "Storage": ["storage", "shelf", "rack", "basket", "container", "box"],
-    "Electronics": ["electronics", "laptop", "phone", "tablet", "television", "camera"],
-}
+    "Food": [
+        "food", "snack", "snacks", "candy", "candies", "chocolate", "biscuit", "biscuits", "cookie", "cookies", "confectionery", "confection",
+        "treat", "treats", "sweet", "sweets", "lolly", "lollies", "pocky", "chips", "crisps", "crackers", "cracker", "wafer", "wafers", "gummy",
+        "gummies", "caramel", "toffee", "fudge", "mints", "mint", "licorice", "liquorice", "marshmallow", "nougat", "praline", "truffle", "bonbon",
+        "jellybean", "lollipop", "hard candy", "chewy", "crunchy", "crispy", "edible", "flavour", "flavor", "strawberry", "matcha", "vanilla",
+        "cocoa", "hazelnut",
+    ],
+    "Drinkware": [
+        "cup", "cups", "mug", "mugs", "glass", "glasses", "tumbler", "tumblers", "drinkware", "goblet", "goblets", "wine glass", "champagne flute",
+        "beer glass", "coffee cup", "tea cup", "espresso cup", "travel mug", "sippy cup", "shot glass", "highball", "lowball", "pint glass",
+        "stemware", "glassware",
+    ],
+    "Apparel": [
+        "apparel", "clothing", "clothes", "wear", "shirt", "short", "shorts", "pants", "dress", "jacket", "coat", "sweater", "hoodie", "tank top",
+        "blouse top", "crop top", "bottom", "skirt", "legging", "leggings", "bike short", "bike shorts", "activewear", "sportswear", "athleisure",
+        "underwear", "bra", "sock", "socks", "swimwear", "swimsuit", "swim short", "swim shorts", "swim trunk", "swim trunks", "board short",
+        "board shorts", "bikini", "rashie", "rash guard", "wetsuit", "trunks", "briefs", "boxer", "boxers",
+    ],
+    "Footwear": [
+        "footwear", "shoe", "shoes", "boot", "boots", "sneaker", "sneakers", "sandal", "sandals", "slipper", "slippers", "heel", "heels",
+        "loafer", "loafers", "trainer", "trainers",
+    ],
+    "Accessories": [
+        "accessory", "accessories", "bag", "bags", "handbag", "purse", "wallet", "belt", "hat", "cap", "scarf", "glove", "gloves", "watch",
+        "jewelry", "jewellery", "sunglasses",
+    ],
+    "Furniture": ["furniture", "table", "chair", "sofa", "bed", "cabinet", "desk", "shelving", "bench", "stool", "ottoman"],
+    "Appliance": [
+        "appliance", "cooktop", "stove", "oven", "cooker", "rangehood", "hood", "dishwasher", "refrigerator", "freezer", "microwave oven",
+        "microwave appliance",
+    ],
+    "Cookware": ["cookware", "pan", "pot", "skillet", "wok", "stock pot", "saucepan", "frypan", "bakeware"],
+    "Flooring": ["flooring", "floor", "tile", "laminate", "vinyl", "carpet", "rug", "timber floor"],
+    "Textile": ["textile", "fabric", "cloth", "curtain", "bedding", "cushion", "throw", "blanket", "pillow"],
+    "Hardware": ["hardware", "handle", "lock", "hinge", "fastener", "bolt", "knob", "pull", "tap", "faucet"],
+    "Lighting": ["light", "lighting", "lamp", "bulb", "fixture", "pendant", "chandelier", "sconce", "downlight"],
+    "Outdoor": ["outdoor", "patio", "garden", "landscape", "bbq", "barbecue", "umbrella", "gazebo"],
+    "Storage": ["storage", "shelf", "rack", "organizer", "basket", "container", "box", "bin"],
+    "Decor": ["decor", "decoration", "art", "mirror", "vase", "frame", "ornament", "sculpture"],
+    "Electronics": [
+        "electronic", "electronics", "computer", "laptop", "phone", "tablet", "tv", "television", "speaker", "headphone", "headphones", "camera",
+    ],
+    "Sports": ["sports", "sport", "fitness", "gym", "exercise", "workout", "yoga", "cycling", "running", "swimming"],
+}
+
+# Materials that a product of a category is not made of.
+EXCLUDED_MATERIALS = {
+    "Food": [
+        "stainless steel", "steel", "iron", "aluminium", "aluminum", "brass", "copper", "bronze", "granite", "marble", "concrete", "glass",
+        "ceramic", "porcelain", "timber", "oak", "pine", "teak", "ash", "walnut", "leather", "polyester", "nylon", "cotton", "wool", "silk",
+        "linen", "velvet", "suede", "denim", "lycra", "spandex", "acrylic", "vinyl", "rubber",
+    ],
+    "Drinkware": [
+        "steel", "iron", "aluminium", "aluminum", "brass", "copper", "bronze", "granite", "marble", "concrete", "timber", "oak", "pine", "teak",
+        "ash", "walnut", "leather", "polyester", "nylon", "cotton", "wool", "silk", "linen", "velvet", "suede", "denim", "lycra", "spandex",
+        "vinyl", "rubber",
+    ],
+    "Apparel": [
+        "stainless steel", "steel", "iron", "aluminium", "aluminum", "brass", "copper", "bronze", "granite", "marble", "concrete", "glass",
+        "ceramic", "porcelain", "timber", "oak", "pine", "teak", "ash", "walnut", "maple", "birch", "mahogany", "chrome", "nickel", "zinc",
+    ],
+    "Footwear": [
+        "stainless steel", "steel", "iron", "aluminium", "aluminum", "brass", "copper", "bronze", "granite", "marble", "concrete", "glass",
+        "ceramic", "porcelain", "timber", "oak", "pine", "teak", "ash",
+    ],
+    "Accessories": ["stainless steel", "iron", "aluminium", "granite", "marble", "concrete", "timber", "oak", "pine", "teak", "ash"],
+    "Sports": [
+        "stainless steel", "steel", "iron", "granite", "marble", "concrete", "glass", "porcelain", "timber", "oak", "pine", "teak", "ash",
+        "walnut", "maple",
+    ],
+}
 
 # Defaults of parameters: dictionaries (category, name, aliases[, description]) in order of precedence.
 MATERIALS = [
@@ -212,3 +271,64 @@ PLACEMENTS = {
     "certification": ["specs_table", "certifications", "sustainability"], "environment": ["designed_for", "use_cases", "features"],
     "care": ["care_instructions", "maintenance", "faq"], "warranty": ["warranty_info", "faq", "specs_table"], "rating": ["specs_table", "features"],
 }
+
+# Why an entity of each type matters, and why it is placed where it is.
+REASONS = {
+    "dimension": "Product dimensions affect fit and suitability for intended space.",
+    "weight": "Weight affects portability and structural requirements.",
+    "capacity": "Capacity determines how much the product can hold.",
+    "rating": "Power rating indicates energy consumption and performance.",
+    "material": "Material composition affects durability, maintenance, and appearance.",
+    "finish": "Finish affects appearance, durability, and maintenance.",
+    "standard": "Compliance ensures product meets safety and quality standards.",
+    "certification": "Compliance ensures product meets safety and quality standards.",
+    "care": "Care instructions help maintain product quality and lifespan.",
+    "warranty": "Warranty coverage provides peace of mind and protection.",
+}
+PLACEMENT_REASONS = {
+    "material": "Material information belongs in specifications and care guidance.",
+    "dimension": "Dimensions are key specifications that help with fit assessment.",
+    "weight": "Weight affects shipping and handling considerations.",
+    "capacity": "Capacity is a key functional specification.",
+    "finish": "Finish affects appearance and maintenance requirements.",
+    "standard": "Standards/certifications should be clearly listed.",
+    "certification": "Certifications provide credibility and compliance info.",
+    "environment": "Usage environment guides customer suitability assessment.",
+    "care": "Care information helps maintain product longevity.",
+    "warranty": "Warranty details provide purchase confidence.",
+    "rating": "Power/efficiency ratings are key specifications.",
+}
+OTHER_PLACEMENT_REASON = "Appropriate PDP section based on entity type."
+# Placements of whole groups of terms: group, name, type, sections, reason.
+GROUP_PLACEMENTS = [
+    ("Core Attributes", "Specifications", "core_attributes", ["specs_table"], "Core attribute terms should populate the specifications table."),
+    ("Functional Terms", "Features & Benefits", "functional_terms", ["features", "hero_copy"], "Functional advantages highlight key benefits."),
+    ("Usage Context", "Designed For", "usage_context", ["designed_for", "use_cases"], "Usage context helps customers assess suitability."),
+]
+# Placements in the plain format of results: sections and reason by type, the reason of other types, and those of groups.
+PLAIN_PLACEMENTS = {
+    "material": (["specs_table", "features", "care_instructions"], "Material information belongs in specifications and care guidance."),
+    "standard": (["specs_table", "certifications", "faq"], "Certifications should be clearly listed."),
+    "environment": (["designed_for", "use_cases", "features"], "Usage environment guides suitability assessment."),
+    "care": (["care_instructions", "maintenance", "faq"], "Care information helps maintain product longevity."),
+}
+PLAIN_PLACEMENT_REASON = "Appropriate PDP section."
+PLAIN_GROUP_PLACEMENTS = [
+    ("Core Attributes", "Specifications", "core_attributes", ["specs_table"], "Core attributes populate specifications."),
+    ("Functional Terms", "Features & Benefits", "functional_terms", ["features", "hero_copy"], "Functional terms highlight benefits."),
+]
+# Sections of a model's answer, and the names that results give them.
+ANSWER_SECTIONS = {
+    "specs_table": "spec_table", "features": "designed_for", "designed_for": "designed_for", "not_suitable_for": "not_suitable_for",
+    "care_instructions": "care_maintenance", "faqs": "faqs", "json_ld": "json_ld",
+}
+# Names that the fields of a request's terms go by, in order of precedence.
+TERM_FIELDS = {
+    "phrase": ["phrase", "term"], "tfidf_score": ["tfidf_score", "score"], "doc_freq": ["doc_freq", "docFreq"],
+    "importance_score": ["importance_score", "importanceScore"], "source": ["source"],
+}
+# Methods that a structured scrape reports.
+SCRAPE_METHODS = {"ok": "firecrawl", "failed": "firecrawl_error", "refused": "firecrawl_api_error"}
+
+# Patterns that tidy a text after brands are taken out, applied in order with what each becomes.
+BRAND_TIDYING = [(r"\s+", " "), (r"^[\s\-,]+|[\s\-,]+$", ""), (r"\s*[,\-]\s*[,\-]\s*", " ")]

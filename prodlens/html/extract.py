@@ -293,7 +293,8 @@ def extracted(pages: DataFrame, options: Options = Options(), html_col: str = "h
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, *names])
 
-    marked = spread(pages).select(*keep, F.when(~T.is_challenge(F.col(html_col)), F.col(html_col)).alias(html_col), T.is_challenge(F.col(html_col)).alias("challenge"))
+    # In two steps: beside a new column of the same name, the predicate would read that one.
+    marked = spread(pages).select(*keep, html_col, T.is_challenge(F.col(html_col)).alias("challenge"))
     parsed = marked.filter("not challenge").select(*keep, html_col).mapInArrow(run, schema)
     blocked = marked.filter("challenge").select(*keep, *(F.lit("blocked" if n == "extraction_method" else 0.0 if n == "confidence_score" else None).cast("double" if n == "confidence_score" else "string").alias(n) for n in names))
     return parsed.unionByName(blocked)

@@ -112,26 +112,40 @@ def is_textile(text: Column) -> Column:
 
 
 def from_dictionary(text: Column, entries: list[tuple], kind: str, most: int, excluded: Column | None = None) -> Column:
-    """Entries (category, name, aliases, ...) in order whose name or else first fitting alias occurs in the text."""
-    each = []
+    """Entries (category, name, aliases, ...) in order whose name or else first fitting alias occurs in the text.
+
+    A name or alias that an earlier entry was found by, or is called, does not count again.
+    """
+    each: list[Column] = []
+    by: list[tuple[tuple, Column]] = []  # earlier entries, and the name that each was found by
     for entry in entries:
         name, aliases = entry[1], list(entry[2])
-        options = []
+        options, found_by = [], []
         for n in [name, *aliases]:
             found = text.rlike(_whole_word(n)) if kind == "material" and n in fixed.WHOLE_WORD_MATERIALS else F.contains(text, F.lit(n))
             if kind == "material":
                 found = found & ~in_care_context(n, text)
+            for earlier, used in by:
+                if n in [earlier[1], *earlier[2]]:
+                    found = found & ~F.coalesce((used == n) | (used.isNotNull() & F.lit(n == earlier[1])), F.lit(False))
             options.append(F.when(found, _entity(F.lit(name.title()), kind, evidence(F.lit(n), text))))
-        one = F.coalesce(*options)
+            found_by.append(F.when(found, F.lit(n)))
+        one, used = F.coalesce(*options), F.coalesce(*found_by)
         if excluded is not None:
-            one = F.when(~F.arrays_overlap(excluded, T.literals([name, *aliases])), one)
+            barred = F.arrays_overlap(excluded, T.literals([name, *aliases]))
+            one, used = F.when(~barred, one), F.when(~barred, used)
         each.append(one)
+        by.append((entry, used))
     return F.slice(F.filter(F.array(*each), lambda e: e.isNotNull()), 1, most)
 
 
-def materials(text: Column, entries: list[tuple] = fixed.MATERIALS) -> Column:
-    excluded = F.when(is_textile(text), T.literals(fixed.TEXTILE_IMPOSSIBLE)).otherwise(F.array().cast("array<string>"))
-    return from_dictionary(text, entries, "material", 5, excluded)
+def materials(text: Column, entries: list[tuple] = fixed.MATERIALS, category: Column | None = None) -> Column:
+    """Materials of the dictionary; none that a textile, or a product of the category, is not made of."""
+    none = F.array().cast("array<string>")
+    textile = F.when(is_textile(text), T.literals(fixed.TEXTILE_IMPOSSIBLE)).otherwise(none)
+    if category is not None:
+        textile = F.concat(textile, F.coalesce(*(F.when(category == c, T.literals(m)) for c, m in fixed.EXCLUDED_MATERIALS.items()), none))
+    return T.let(textile, lambda excluded: from_dictionary(text, entries, "material", 5, excluded))
 
 
 def finishes(text: Column, entries: list[tuple] = fixed.FINISHES) -> Column:
@@ -143,20 +157,21 @@ def environments(text: Column, entries: list[tuple] = fixed.ENVIRONMENTS) -> Col
 
 
 def category_scores(text: Column, categories: dict[str, list[str]] = fixed.CATEGORIES) -> Column:
-    """A struct (category, score) for each category in order."""
-    words = F.split(text, r"\s+")
+    """A struct (category, score) for each category in order. The keywords are data in the plan, so its size stays that of one rule."""
 
-    def keyword(k: str) -> Column:
+    def keyword(k: str) -> str:
         heavy = k in fixed.SPECIFIC_KEYWORDS
-        whole, part = F.array_contains(words, k), F.contains(text, F.lit(k))
-        out = F.when(whole, 3.0 if heavy else 1.0)
-        out = out.when(part, (3.0 if heavy else 1.0)) if " " in k else out.when(part, (0.5 if heavy else 0.3) if len(k) >= 4 else 0.0)
-        score = out.otherwise(0.0)
-        for phrase in fixed.COMPOUNDS.get(k, []):
-            score = F.when(F.contains(text, F.lit(phrase)), 0.0).otherwise(score)
-        return score
+        whole = 3.0 if heavy else 1.0
+        part = whole if " " in k else (0.5 if heavy else 0.3) if len(k) >= 4 else 0.0
+        unless = ", ".join(map(T.quoted, fixed.COMPOUNDS.get(k, [])))
+        return f"named_struct('k', {T.quoted(k)}, 'whole', {whole}D, 'part', {part}D, 'unless', cast(array({unless}) as array<string>))"
+
+    def score(words: Column, keywords: Column) -> Column:
+        one = lambda k: F.when(F.exists(k["unless"], lambda p: F.contains(text, p)), 0.0).when(F.array_contains(words, k["k"]), k["whole"]).when(F.contains(text, k["k"]), k["part"]).otherwise(0.0)
+        return F.round(F.aggregate(keywords, F.lit(0.0), lambda a, k: a + one(k)), 4)
 
-    return F.array(*(F.struct(F.lit(c).alias("category"), F.round(sum((keyword(k) for k in ks), F.lit(0.0)), 4).alias("score")) for c, ks in categories.items()))
+    lists = F.expr("array(" + ", ".join(f"named_struct('category', {T.quoted(c)}, 'ks', array({', '.join(map(keyword, ks))}))" for c, ks in categories.items()) + ")")
+    return T.let(F.split(text, r"\s+"), lambda words: F.transform(lists, lambda c: F.struct(c["category"].alias("category"), score(words, c["ks"]).alias("score"))))
 
 
 def best_category(text: Column, categories: dict[str, list[str]] = fixed.CATEGORIES, least: float = 2.0) -> Column:
@@ -168,16 +183,16 @@ def best_category(text: Column, categories: dict[str, list[str]] = fixed.CATEGOR
 
 def primary_path(query: Column, text: Column, subtype: Column | None = None) -> Column:
     """`category > subtype`: by the query first, else by all text; `Product > Unknown` if neither tells."""
-    by_query, by_text = best_category(query), best_category(text)
     sub = F.lit(None).cast("string") if subtype is None else subtype
-    q = F.when(by_query.isNotNull(), F.concat(by_query, F.lit(" > "), F.coalesce(sub, titled(query))))
-    t = F.when(by_text.isNotNull(), F.concat_ws(" > ", by_text, sub))
+    # a null concatenates to null, so each category is computed once and the text's only if the query tells nothing
+    q = F.concat(best_category(query), F.lit(" > "), F.coalesce(sub, titled(query)))
+    t = T.let(best_category(text), lambda c: F.when(c.isNotNull(), F.concat_ws(" > ", c, sub)))
     return F.coalesce(q, t, F.lit("Product > Unknown"))
 
 
-def rule_entities(text: Column) -> Column:
+def rule_entities(text: Column, category: Column | None = None) -> Column:
     """All rules in order."""
-    return F.concat(*(rule(text) for rule in (dimensions, weights, capacities, power, materials, finishes, standards, environments, care)))
+    return F.concat(*(materials(text, category=category) if rule is materials else rule(text) for rule in (dimensions, weights, capacities, power, materials, finishes, standards, environments, care)))
 
 
 def missing_types(entities: Column) -> Column:
@@ -248,12 +263,35 @@ def merged_confidence(entities: DataFrame, rules: float = 0.5, model: float = 0.
     return counts.join(n, "product_id", "left").select("product_id", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), score)), 4).alias("confidence"))
 
 
+def by_type(entities: DataFrame) -> DataFrame:
+    """(product_id, entity_type, entities in order)."""
+    rest = [c for c in entities.columns if c not in ("product_id", "entity_type", "pos")]
+    return entities.groupBy("product_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("entities"))
+
+
+def described(standards: DataFrame, known: DataFrame, name_col: str = "name") -> DataFrame:
+    """standards with `description`: of the known standards (region_pos, name, description) the one of that name in the first region; else null."""
+    first = known.groupBy(F.upper("name").alias("known_name")).agg(F.min_by("description", "region_pos").alias("description"))
+    return standards.join(first, F.upper(standards[name_col]) == F.col("known_name"), "left").drop("known_name")
+
+
 def without_brands(x: Column, brands: list[str], patterns: list[str] = ("pty ltd", "inc", "llc")) -> Column:
     """Text without whole-word brands (the longest first) and company forms, tidied."""
     names = sorted(brands, key=lambda b: (-len(b), b)) + list(patterns)
     out = F.regexp_replace(x, "(?i)" + T.alternation(names), "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[\s\-,]+|[\s\-,]+$", "")
-    return F.trim(F.regexp_replace(out, r"\s*[,\-]\s*[,\-]\s*", " "))
+    for pattern, becomes in fixed.BRAND_TIDYING:
+        out = F.regexp_replace(out, pattern, becomes)
+    return F.trim(out)
+
+
+def has_brand(x: Column, brands: list[str]) -> Column:
+    """Whether a brand occurs as whole words; false for null."""
+    return F.coalesce(x.rlike("(?i)" + T.alternation(list(brands))), F.lit(False)) if brands else F.lit(False)
+
+
+def is_brand_only(x: Column, brands: list[str]) -> Column:
+    """Whether less than three characters are left without brands."""
+    return F.length(without_brands(x, brands)) < 3
 
 
 def clean_path(path: Column, brands: list[str]) -> Column:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Bytes, by the optimizer's estimate, up to which an input counts as small.
+SMALL_BYTES = 512 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it has few partitions: a small file is one row group, which one task would read and work on alone.
+    """df over all cores where it is small: a small file is one row group, which one task would read and work on alone.
 
-    Inputs of many partitions stay as they are, so large tables are never shuffled for this.
+    Larger inputs stay as they are, whatever the number of cores, so large tables are never shuffled for this. The estimate is the
+    optimizer's own, and nothing runs for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < 4 * cores else df
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

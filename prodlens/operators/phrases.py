@@ -9,6 +9,9 @@ from ..functions import fixed_values as fixed
 from ..functions import text as T
 from .layout import spread
 
+#: A vocabulary of at most so many phrases is broadcast; a larger one is joined by shuffle.
+BROADCAST_PHRASES = 100_000
+
 
 def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """Cleaned documents, those without text left out."""
@@ -27,18 +30,21 @@ def _terms(docs: DataFrame, stop_words: list[str], most: int = 3) -> DataFrame:
     return docs.select("doc_id", T.ngrams(words, most).alias("terms"))
 
 
-def vocabulary(terms: DataFrame, min_df: int, max_df: float, cap: int) -> tuple[DataFrame, int]:
-    """(phrase, df, total) of the `cap` most frequent phrases with df from min_df to max_df of all documents, and the number of documents.
+def _marks(terms: Column) -> Column:
+    """(p, first): each occurrence of a term, and 1 at one occurrence of each, so that one row does for both frequencies."""
+    return T.let(F.array_sort(terms), lambda t: F.transform(t, lambda p, i: F.struct(p.alias("p"), F.when((i > 0) & (F.get(t, i - 1) == p), 0).otherwise(1).alias("first"))))
 
-    Document and corpus frequencies come from one shuffle on the phrase: each document adds every phrase once for df and each
-    occurrence once for the total, summed before the shuffle.
-    """
+
+def counted(terms: DataFrame) -> DataFrame:
+    """(phrase, df, total) of all terms: document and corpus frequencies from one shuffle on the phrase, summed before it."""
+    marks = terms.select(F.explode(_marks(F.col("terms"))).alias("m"))
+    return marks.groupBy(F.col("m.p").alias("phrase")).agg(F.sum("m.first").alias("df"), F.count("*").alias("total"))
+
+
+def vocabulary(terms: DataFrame, min_df: int, max_df: float, cap: int) -> tuple[DataFrame, int]:
+    """(phrase, df, total) of the `cap` most frequent phrases with df from min_df to max_df of all documents, and the number of documents."""
     n = terms.count()
-    once = lambda t: F.transform(F.array_distinct(t), lambda p: F.struct(p.alias("p"), F.lit(1).alias("d"), F.lit(0).alias("o")))
-    each = lambda t: F.transform(t, lambda p: F.struct(p.alias("p"), F.lit(0).alias("d"), F.lit(1).alias("o")))
-    marks = T.let(F.col("terms"), lambda t: F.concat(once(t), each(t)))
-    counted = terms.select(F.explode(marks).alias("m")).groupBy(F.col("m.p").alias("phrase")).agg(F.sum("m.d").alias("df"), F.sum("m.o").alias("total"))
-    kept = counted.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    kept = counted(terms).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return kept.orderBy(F.desc("total"), "phrase").limit(cap), n
 
 
@@ -46,13 +52,15 @@ def tfidf(docs: DataFrame, top_n: int | None = 200, min_df: int = 2, max_df: flo
     """phrase, tfidf_score, doc_freq, total_occurrences, rank: 1-3-grams by document frequency, then summed length-normalised tf-idf.
 
     Smoothed idf, raw counts, rows of length 1. Occurrences count the phrase as a substring of the texts. Where no phrase qualifies
-    (tiny corpora) the result is empty and `frequent_phrases` applies.
+    (tiny corpora) the result is empty and `frequent_phrases` applies, as in `phrases_of`.
     """
     terms = _terms(docs, stop_words)
     voc, n = vocabulary(terms, min_df, max_df, cap)
     voc = voc.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)
-    # cap rows bound what is broadcast
-    tf = terms.select("doc_id", F.explode("terms").alias("phrase")).join(F.broadcast(voc), "phrase").groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.first("idf").alias("idf"), F.first("df").alias("df"))
+    voc = F.broadcast(voc) if cap <= BROADCAST_PHRASES else voc
+    # dealt by document once, which serves both the counts and the norms
+    hits = terms.select("doc_id", F.explode("terms").alias("phrase")).join(voc.drop("total"), "phrase").repartition("doc_id")
+    tf = hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.first("idf").alias("idf"), F.first("df").alias("df"))
     weight = F.col("n") * F.col("idf")
     norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("doc_id")))
     scored = tf.select("phrase", "df", (weight / norm).alias("w")).groupBy("phrase").agg(F.first("df").alias("doc_freq"), F.round(F.sum("w"), 4).alias("tfidf_score"))
@@ -66,6 +74,13 @@ def tfidf(docs: DataFrame, top_n: int | None = 200, min_df: int = 2, max_df: flo
     return with_occurrences(best, docs).select("phrase", "tfidf_score", "doc_freq", "total_occurrences", "rank")
 
 
+def phrases_of(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
+    """phrase, tfidf_score, doc_freq, total_occurrences: by TF-IDF, and by frequency where no phrase qualifies for that, as in corpora of one or two texts."""
+    columns = ["phrase", "tfidf_score", "doc_freq", "total_occurrences"]
+    out = tfidf(docs, top_n, min_df).select(*columns)
+    return frequent_phrases(docs, top_n, min_df).select(*columns) if out.isEmpty() else out
+
+
 def with_occurrences(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     """phrases with total_occurrences: non-overlapping substring counts over all texts. The phrases (a top list) go to every document as one array."""
     wanted = phrases.agg(F.array_sort(F.collect_list("phrase")).alias("all_phrases"))
@@ -81,9 +96,8 @@ def frequent_phrases(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> Data
     stop = sorted({*fixed.FALLBACK_STOP_WORDS, *fixed.GENERIC_WORDS})
     words = F.filter(F.split(T.squeezed(F.lower("text")), " "), lambda w: w != "")
     grams = docs.select("doc_id", F.filter(T.ngrams(words), lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(stop))).alias("terms"))
-    counted, n = vocabulary(grams, min_df, 1.0, 1 << 30)
-    score = F.round(F.col("total") * (F.log(F.lit(float(n)) / (F.col("df") + 1)) + 1), 4)
-    return counted.select("phrase", score.alias("tfidf_score"), F.col("df").alias("doc_freq"), F.col("total").alias("total_occurrences")).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase").limit(top_n)
+    score = F.round(F.col("total") * (F.log(F.lit(float(grams.count())) / (F.col("df") + 1)) + 1), 4)
+    return counted(grams).filter(F.col("df") >= min_df).select("phrase", score.alias("tfidf_score"), F.col("df").alias("doc_freq"), F.col("total").alias("total_occurrences")).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase").limit(top_n)
 
 
 def noun_phrases(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
@@ -137,7 +151,28 @@ def ranked(phrases: DataFrame, top_n: int | None = None) -> DataFrame:
 def analysed(df: DataFrame, top_n: int = 200, min_df: int = 2, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """The whole phrase pipeline over raw texts."""
     docs = corpus(df, id_col, text_col, brands)
-    return ranked(with_importance(merged_variants(union_of_sources(tfidf(docs, min_df=min_df), noun_phrases(docs, min_df=min_df)))), top_n)
+    return ranked(with_importance(merged_variants(union_of_sources(phrases_of(docs, top_n, min_df), noun_phrases(docs, top_n, min_df)))), top_n)
+
+
+def corpus_sizes(products: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: products analysed, and documents left after cleaning."""
+    return docs.agg(F.count("*").alias("corpus_size")).select(F.lit(products.count()).alias("products_analyzed"), "corpus_size")
+
+
+def filtered(phrases: DataFrame, contains: str = "", band: str | None = None, source: str | None = None) -> DataFrame:
+    """Phrases that hold a text (in any case), of an importance band (high from 70, medium from 40 to below 70) and of a source."""
+    out = phrases.filter(F.contains(F.lower("phrase"), F.lit(contains.lower())))
+    if band == "high":
+        out = out.filter("importance_score >= 70")
+    elif band == "medium":
+        out = out.filter("importance_score >= 40 and importance_score < 70")
+    return out if source is None else out.filter(F.col("source") == source)
+
+
+def paged(phrases: DataFrame, by: str = "importance_score", descending: bool = True, page: int = 1, size: int = 50) -> DataFrame:
+    """A page of phrases ordered by a column, strings in lower case, ties by phrase."""
+    key = F.lower(by) if dict(phrases.dtypes)[by] == "string" else F.col(by)
+    return phrases.orderBy(key.desc() if descending else key.asc(), "phrase").offset((page - 1) * size).limit(size)
 
 
 def buckets(phrases: DataFrame, most: int = 100) -> DataFrame:

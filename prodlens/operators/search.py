@@ -23,6 +23,30 @@ def top_hits(hits: DataFrame, limit: int, key: str = "query_key") -> DataFrame:
     return cut.groupBy(key, "title").agg(F.min("pos").alias("pos"), F.max_by(F.struct(*rest), F.struct("pos", *rest)).alias("v")).select(key, "pos", "title", "v.*")
 
 
+def linked(hits: DataFrame) -> DataFrame:
+    """Hits with a link."""
+    return hits.filter(F.length(F.coalesce("link", F.lit(""))) > 0)
+
+
+def requested(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rows of a batch whose address is not blank."""
+    return urls.filter(F.trim(F.coalesce(F.col(url_col), F.lit(""))) != "")
+
+
+def without_errors(results: DataFrame, error_col: str = "error") -> DataFrame:
+    """Results without an error."""
+    return results.filter(F.coalesce(F.col(error_col), F.lit("")) == "")
+
+
+def evicted(cache: DataFrame, most: int = 100, dropped: int = 20, time_col: str = "stored") -> DataFrame:
+    """Of a cache of more than `most` entries all but the `dropped` oldest; a smaller one as it is. Ties go by key."""
+    size = cache.count()
+    if size <= most:
+        return cache
+    oldest = cache.orderBy(time_col, "key").limit(dropped).select("key")  # a bounded list
+    return cache.join(F.broadcast(oldest), "key", "left_anti")
+
+
 def enriched(hits: DataFrame, links: DataFrame, most: int = 5, key: str = "query_key") -> DataFrame:
     """Hits whose missing link is taken from links (title, source, found_link), for the first `most` of each query."""
     wanted = (F.coalesce("link", F.lit("")) == "") & (F.col("pos") < most)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import text as T
 from ..operators import phrases as P
+from ..sources import sinks
 from . import sql_text as S
 
 
@@ -41,8 +42,8 @@ NAMES = "names as (select distinct lower(unnest(string_split(" + S.squeezed("tex
 DEFINED = {
     "clean_corpus": (lambda s, d: _docs(s, d), f"with {S.corpus()} select * from corpus"),
     "marketing_strip": (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.lit("Buy online or instore: "), F.left("text", F.lit(60)), F.lit(" &amp; free shipping! https://x.example/y 5 kg – a W"))).toDF("doc_id", "t").select("doc_id", T.cleaned(F.col("t")).alias("text")),
-        f"select doc_id, {S.cleaned("'Buy online or instore: ' || left(text, 60) || ' &amp; free shipping! https://x.example/y 5 kg – a W'")} as text from documents",
+        lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.lit("Buy online or instore: "), F.col("text"), F.lit(" &amp; free shipping! https://x.example/y 5 kg – a W"))).toDF("doc_id", "t").select("doc_id", T.cleaned(F.col("t")).alias("text")),
+        f"select doc_id, {S.cleaned("'Buy online or instore: ' || text || ' &amp; free shipping! https://x.example/y 5 kg – a W'")} as text from documents",
     ),
     "unit_word_filter": (
         lambda s, d: table(s, d, "part").select("p_partkey", T.cleaned(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.lit("w q % °c x l"))).alias("text")),
@@ -51,6 +52,12 @@ DEFINED = {
     "tfidf_top_phrases": (lambda s, d: P.tfidf(_docs(s, d)).drop("rank"), f"with {S.tfidf()} select phrase, tfidf_score, doc_freq, total_occurrences from counted"),
     "tfidf_rank": (lambda s, d: P.tfidf(_docs(s, d), occurrences=False), f"with {S.tfidf()} select phrase, tfidf_score, doc_freq, row_number() over (order by doc_freq desc, tfidf_score desc, phrase)::int as rank from best"),
     "tfidf_fallback": (lambda s, d: P.frequent_phrases(_docs(s, d)), FREQUENT),
+    "phrase_high_both": (lambda s, d: P.filtered(_important(s, d), "", "high", "both").select("phrase", "importance_score"), f"with {S.merged()} select phrase, importance_score from important where importance_score >= 70 and source = 'both'"),
+    "tfidf_tiny_corpus": (
+        lambda s, d: P.phrases_of(P.corpus(table(s, d, "region").select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("steel kettle "), F.lower("r_name")).alias("text")).filter("doc_id < 2"))),
+        f"with documents as (select r_regionkey as doc_id, 'steel kettle ' || lower(r_name) as text from region where r_regionkey < 2), {FREQUENT.removeprefix('with ')}",
+    ),
+    "corpus_sizes": (lambda s, d: P.corpus_sizes(table(s, d, "documents"), _docs(s, d)), f"with {S.corpus()} select (select count(*) from documents) as products_analyzed, count(*) as corpus_size from corpus"),
     "vocab_cap": (lambda s, d: P.vocabulary(P._terms(_docs(s, d), fixed.STOP_WORDS), 2, 0.85, 5000)[0], f"with {S.tfidf()} select phrase, df, total::bigint as total from voc"),
     "noun_phrases_heuristic": (lambda s, d: P.noun_phrases(_docs(s, d)), f"with {S.corpus()}, {S.nouns()} select *, string_split(phrase, ' ')[-1] as root_word from noun"),
     "phrase_merge": (lambda s, d: P.union_of_sources(P.tfidf(_docs(s, d)), P.noun_phrases(_docs(s, d))), f"with {S.merged()} select * from united"),
@@ -62,10 +69,10 @@ DEFINED = {
         f"with {S.merged()}, r as (select *, case when importance_score >= 70 then 'high' when importance_score >= 40 then 'medium' else 'low' end as bucket from important), n as (select *, row_number() over (partition by bucket order by importance_score desc, key)::int as pos from r) select bucket, pos, phrase, importance_score from n where pos <= 100",
     ),
     "source_stats": (lambda s, d: P.source_counts(_important(s, d)), f"with {S.merged()} select count(*) as total, count_if(source = 'tfidf')::bigint as n_tfidf, count_if(source = 'spacy')::bigint as n_spacy, count_if(source = 'both')::bigint as n_both from important"),
-    "phrase_page": (lambda s, d: _important(s, d).orderBy("phrase").offset(50).limit(50).select("phrase", "importance_score"), f"with {S.merged()} select phrase, importance_score from important order by phrase limit 50 offset 50"),
+    "phrase_page": (lambda s, d: P.paged(_important(s, d), "phrase", False, 2).select("phrase", "importance_score"), f"with {S.merged()} select phrase, importance_score from important order by lower(phrase), phrase limit 50 offset 50"),
     "phrase_ui_filters": (
-        lambda s, d: _important(s, d).filter(F.contains("phrase", F.lit("th")) & F.col("importance_score").between(5, 39.9999) & (F.col("source") == "both")).select("phrase", "importance_score"),
-        f"with {S.merged()} select phrase, importance_score from important where contains(phrase, 'th') and importance_score between 5 and 39.9999 and source = 'both'",
+        lambda s, d: P.filtered(_important(s, d), "E", "medium").select("phrase", "importance_score"),
+        f"with {S.merged()} select phrase, importance_score from important where contains(lower(phrase), 'e') and importance_score >= 40 and importance_score < 70",
     ),
     "keep_list_semi": (lambda s, d: P.kept_terms(P.tfidf(_docs(s, d), occurrences=False), _names(s, d)).select("phrase", "doc_freq"), f"with {S.tfidf()}, {NAMES} select phrase, doc_freq from best where lower(phrase) in (select name from names)"),
     "noise_anti": (lambda s, d: P.dropped_terms(P.tfidf(_docs(s, d), occurrences=False), _names(s, d)).select("phrase", "doc_freq"), f"with {S.tfidf()}, {NAMES} select phrase, doc_freq from best where lower(phrase) not in (select name from names)"),
@@ -75,7 +82,7 @@ DEFINED = {
         f"select p_partkey, regexp_replace(lower(p_name), '^(?:(?:{'|'.join(fixed.EDGE_WORDS)}) )+', '') || ',' as phrase from part",
     ),
     "export_csv_rows": (
-        lambda s, d: P.ranked(_important(s, d), 200).select(F.col("phrase").alias("Phrase"), (F.round(F.col("importance_score") * 100) / 100).alias("Importance"), F.round("tfidf_score", 4).alias("TFIDF"), F.col("doc_freq").alias("DocFreq"), F.col("total_occurrences").alias("Occurrences"), F.col("source").alias("Source")),
+        lambda s, d: sinks.phrase_rows(P.ranked(_important(s, d), 200)),
         f"with {S.merged()} select phrase as \"Phrase\", round(importance_score, 2) as \"Importance\", round(tfidf_score, 4) as \"TFIDF\", doc_freq as \"DocFreq\", total_occurrences as \"Occurrences\", source as \"Source\" from important order by importance_score desc, key limit 200",
     ),
 }

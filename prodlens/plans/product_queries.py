@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import text as T
 from ..html import extract as H
+from ..operators import describe, hybrid, scrape, search
 from ..operators import entities as E
-from ..operators import scrape, search
+from ..sources import connectors, sinks
 from ..streaming import dedupe
 from . import sql_text as S
 from .phrase_queries import table
@@ -16,11 +17,11 @@ from .phrase_queries import table
 
 def _spec(s, d):
     """Specification texts built from parts."""
-    text = F.lower(F.concat_ws(" ", "p_name", F.concat("p_size", F.lit("cm wide, height: "), "p_size", F.lit(' mm and 48 inch,')), F.concat("p_size", F.lit("kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,")), F.lit("as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors"), F.when(F.col("p_size") % 3 == 0, "cool iron only, cotton fabric").otherwise("iron frame")))
+    text = F.lower(F.concat_ws(" ", "p_name", F.concat("p_size", F.lit("cm wide, height: "), "p_size", F.lit(' mm and 48 inch,')), F.concat("p_size", F.lit("kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,")), F.lit("as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors"), F.when(F.col("p_size") % 3 == 0, "cool iron only, cotton fabric").otherwise("iron frame"), F.when(F.col("p_size") % 4 == 0, "brushed, matte and plated").when(F.col("p_size") % 4 == 1, "powder-coated")))
     return table(s, d, "part").select("p_partkey", text.alias("t"))
 
 
-SPEC = """(select p_partkey, lower(concat_ws(' ', p_name, p_size || 'cm wide, height: ' || p_size || ' mm and 48 inch,', p_size || 'kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,', 'as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors', case when p_size % 3 = 0 then 'cool iron only, cotton fabric' else 'iron frame' end)) as t from part)"""
+SPEC = """(select p_partkey, lower(concat_ws(' ', p_name, p_size || 'cm wide, height: ' || p_size || ' mm and 48 inch,', p_size || 'kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,', 'as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors', case when p_size % 3 = 0 then 'cool iron only, cotton fabric' else 'iron frame' end, case when p_size % 4 = 0 then 'brushed, matte and plated' when p_size % 4 = 1 then 'powder-coated' end)) as t from part)"""
 
 
 def _rule(rule):
@@ -41,6 +42,10 @@ def _matches(patterns: list[str], unit: str | None, kind: str, most: int) -> str
       select * from r where pos < {most}"""
 
 
+#: A lower-cased name with each letter after a non-letter in upper case.
+TITLED = "array_to_string(list_transform(range(1, length(evidence) + 1), lambda i: case when i = 1 or not regexp_matches(evidence[i - 1], '[a-z]') then upper(evidence[i]) else evidence[i] end), '')"
+
+
 def _dictionary(entries, kind: str, most: int, extra: str = "true") -> str:
     parts = []
     for i, e in enumerate(entries):
@@ -113,7 +118,7 @@ MERGE = f"""with {ENTITIES}, e as (select *, trim(regexp_replace({KEY}, '\\s+',
     (entity_type in ('material', 'finish') and not list_has_any(r, m))
     or (entity_type = 'environment' and ((len(list_filter(r, lambda x: contains(x, 'indoor'))) > 0 and len(list_filter(m, lambda x: contains(x, 'outdoor'))) > 0 and len(list_filter(r, lambda x: contains(x, 'outdoor'))) = 0)
       or (len(list_filter(r, lambda x: contains(x, 'outdoor'))) > 0 and len(list_filter(m, lambda x: contains(x, 'indoor'))) > 0 and len(list_filter(r, lambda x: contains(x, 'indoor'))) = 0)))))"""
-BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def _hits(s, d):
@@ -161,22 +166,69 @@ OVERLAP = lambda a, b: f"(case when len({WORDS(a)}) > 0 and len({WORDS(b)}) > 0
 HEADING = "least(1.0, greatest(" + ", ".join(f"case when x = {S.q(k)} then 1.0 when contains(x, {S.q(k)}) then 0.7 when {OVERLAP('x', S.q(k))} > 0.5 then 0.5 * {OVERLAP('x', S.q(k))} else 0.0 end" for k in fixed.HEADING_KEYWORDS) + ") + " + " + ".join(f"case when contains(x, {S.q(w)}) then 0.15 else 0.0 end" for w in fixed.CONTAINER_WORDS) + ")"
 
 
-def _synthetic_pages(s, d):
-    """Pages with JSON-LD, a script, a description block or metadata, by turns; the expected description is a column."""
-    body = F.regexp_replace(F.substring("text", 1, 300), r"[^A-Za-z ]", " ")
-    name = F.regexp_extract(body, "([A-Za-z]{4,} [A-Za-z]{4,})", 1)
-    docs = table(s, d, "documents").filter("lang = 'en' and length(text) > 400").filter(name != "")
-    head = F.concat(F.lit("<html><head><title>"), name, F.lit("</title>"))
-    turn = F.col("doc_id") % 4
-    html = F.when(turn == 0, F.concat(head, F.lit('<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"'), name, F.lit('","description":"'), body, F.lit('"}]}</script></head><body><h1>'), name, F.lit("</h1></body></html>")))
-    html = html.when(turn == 1, F.concat(head, F.lit('</head><body><h1>'), name, F.lit('</h1><script>var product = {"description": "'), body, F.lit('"};</script></body></html>')))
-    html = html.when(turn == 2, F.concat(head, F.lit('</head><body><h1>'), name, F.lit('</h1><div class="product-details"><p>'), body, F.lit('</p></div></body></html>')))
-    html = html.otherwise(F.concat(head, F.lit('<meta name="description" content="'), body, F.lit('"></head><body><h1>'), name, F.lit("</h1></body></html>")))
-    return docs.select("doc_id", html.alias("html"))
+TITLE = "Sturdy Kettle"
+OPENING = f"{TITLE} of steel for every kitchen with a long handle and lid "
+
+
+def _synthetic_pages(s, d, kind=None):
+    """A page for each document, with its whole text in JSON-LD, a script, a description block or metadata: of one kind, or by turns."""
+    body = F.concat(F.lit(OPENING), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " "))
+    turn = F.col("doc_id") % 4 if kind is None else F.lit(kind)
+    head, h1 = f"<html><head><title>{TITLE}</title>", f"<h1>{TITLE}</h1>"
+    page = lambda before, after: F.concat(F.lit(head + before), body, F.lit(after))
+    html = F.when(turn == 0, page(f'<script type="application/ld+json">{{"@graph":[{{"@type":["Thing","Product"],"name":"{TITLE}","description":"', f'"}}]}}</script></head><body>{h1}</body></html>'))
+    html = html.when(turn == 1, page(f'</head><body>{h1}<script>var product = {{"description": "', '"};</script></body></html>'))
+    html = html.when(turn == 2, page(f'</head><body>{h1}<div class="product-details"><p>', "</p></div></body></html>"))
+    html = html.otherwise(page('<meta name="description" content="', f'"></head><body>{h1}</body></html>'))
+    return table(s, d, "documents").select("doc_id", html.alias("html"))
+
+
+def _clipped(x: str, most: int) -> str:
+    return f"case when length({x}) <= {most} then {x} else rtrim(left({x}, {most - 1})) || '…' end"
+
+
+BODIES = f"(select doc_id, {S.squeezed(f"{S.q(OPENING)} || regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g')")} as b from documents)"
+
+
+def _ladder(method: str) -> str:
+    return f"select doc_id, {_clipped('b', 2000)} as text, {method} as extraction_method from {BODIES}"
+
+
+def _found(s, d, kind=None):
+    return H.extracted(_synthetic_pages(s, d, kind)).select("doc_id", F.col("product_description").alias("text"), "extraction_method")
+
+
+ANSWER = """{"primary_entity_path": "Apparel > Shirt", "llm_entities": [{"name": "Acme", "type": "Material", "evidence": "Acme shirt"}, {"name": "Acme Length 70cm", "type": "Dimension", "evidence": "70cm long", "value": "70", "unit": "cm"}, {"name": "Outdoors", "type": "Environment", "evidence": "for outdoors"}, {"name": "Silk", "type": "finish"}, "x"], "placement_map": {"designed_for": ["Hand Wash"], "faqs": ["Length 70cm"]}, "faqs": [{"question": "Is it long?", "answer": "70cm", "evidence": "70cm long"}, {"question": "Why?", "answer": ""}], "confidence": {"primary_entity": 0.8, "supporting_entities": 0.6}, "notes": {"conflicts": ["a"], "missing_types": []}}"""
+GROUPS = """```json
+{"Core Attributes": ["blue"], "Functional Terms": [], "Care Instructions": ["hand wash"], "Noise": ["sale"]}
+```"""
+
+
+def _products(s, d):
+    """Three kinds of products by turns: one that rules tell all of, one that needs the model's answer, and one whose answer cannot be read."""
+    k = F.col("p_size") % 3
+    pick = lambda *xs: F.when(k == 0, xs[0]).when(k == 1, xs[1]).otherwise(xs[2])
+    none = F.lit(None).cast("string")
+    return table(s, d, "part").select(
+        F.col("p_partkey").alias("product_id"), pick("Acme Oak Desk", "Acme Cotton Shirt", "Widget").alias("product_name"), pick(T.literals(["matte", " "]), T.literals(["blue", "hand wash", "sale"]), T.literals(["blue"])).alias("terms"),
+        pick(F.lit("120cm wide, 5kg"), F.lit("for indoors"), none).alias("description"), pick(F.lit("office desk and chair"), none, none).alias("search_query"), pick(F.lit(None), F.lit(False), F.lit(True)).cast("boolean").alias("force"), pick(none, F.lit(ANSWER), F.lit("no json")).alias("response"), pick(none, F.lit(GROUPS), F.lit("[1]")).alias("groups"),
+    )
+
+
+def _names(items):
+    return F.array_join(F.transform(items, lambda e: F.concat(e["entity_type"], F.lit("="), e["name"])), "; ")
 
 
-BODY = "regexp_replace(substr(text, 1, 300), '[^A-Za-z ]', ' ', 'g')"
-PAGED = f"lang = 'en' and length(text) > 400 and regexp_matches({BODY}, '[A-Za-z]{{4,}} [A-Za-z]{{4,}}')"
+def _by_turns(*rows: str) -> str:
+    """SQL of rows by p_size % 3, each a select list."""
+    return " union all ".join(f"select p_partkey as product_id, {r} from part where p_size % 3 = {k}" for k, r in enumerate(rows))
+
+
+def _extraction_results(s, d):
+    part = table(s, d, "part")
+    f = F.struct(F.lit("Size").alias("heading"), F.col("p_size").cast("string").alias("description"))
+    return part.select(F.col("p_partkey").cast("string").alias("url"), F.when(F.col("p_size") % 5 == 0, "timeout").when(F.col("p_size") % 5 == 1, "").alias("error"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("product_name"), F.col("p_type").alias("title"), F.col("p_retailprice").cast("string").alias("price"), F.when(F.col("p_size") % 3 == 0, F.array(f)).alias("features"), F.lit(None).cast("string").alias("additional_information"), F.concat(F.lit("A short. This one is long enough. "), F.col("p_name")).alias("product_description"))
+
 
 #: name: (query, SQL or None)
 DEFINED = {
@@ -185,7 +237,7 @@ DEFINED = {
     "rule_capacity": (_rule(E.capacities), _matches(fixed.CAPACITY_PATTERNS, "case when u in ('l', 'litre', 'liter', 'litres', 'liters') then 'L' when u = 'ml' then 'mL' else u end", "'capacity'", 2)),
     "rule_power": (_rule(E.power), _matches(fixed.POWER_PATTERNS, "case when contains(u, 'watt') then 'W' when contains(u, 'kw') then 'kW' when contains(u, 'volt') then 'V' when contains(u, 'amp') then 'A' when contains(u, 'mj') then 'MJ/h' else u end", "'rating'", 3)),
     "rule_standards": (_rule(E.standards), _matches([p.strip() for p in fixed.STANDARD_PATTERNS], None, "case when name like 'IP%' then 'rating' when contains(name, 'CE') or contains(name, 'UL') then 'certification' else 'standard' end", 5)),
-    "rule_care": (lambda s, d: _rule(E.care)(s, d).drop("name"), _matches([f"({p})" for p in fixed.CARE_PATTERNS], None, "case when contains(evidence, 'warranty') or contains(evidence, 'guarantee') then 'warranty' else 'care' end", 3).replace("select * from r", "select p_partkey, pos, entity_type, evidence from r")),
+    "rule_care": (_rule(E.care), _matches([f"({p})" for p in fixed.CARE_PATTERNS], None, "case when contains(evidence, 'warranty') or contains(evidence, 'guarantee') then 'warranty' else 'care' end", 3).replace("select * from r", f"select p_partkey, pos, {TITLED} as name, entity_type, evidence from r")),
     "rule_finishes": (_rule(E.finishes), _dictionary(fixed.FINISHES, "finish", 3)),
     "rule_environments": (_rule(E.environments), _dictionary(fixed.ENVIRONMENTS, "environment", 4)),
     "rule_materials": (_rule(E.materials), _dictionary(fixed.MATERIALS, "material", 5, f"not (list_has_any({{names}}, {S.lst(fixed.TEXTILE_IMPOSSIBLE)}) and len(list_filter({S.lst(fixed.TEXTILE_SIGNS)}, lambda s: contains(t, s))) > 0) and not ({{n}} = 'iron' and contains(t, 'cool iron'))")),
@@ -209,7 +261,7 @@ DEFINED = {
         lambda s, d: _entities(s, d).groupBy("product_id").agg(F.array_join(F.array_sort(F.array_except(T.literals(fixed.ENTITY_TYPES), F.collect_set("entity_type"))), ",").alias("missing")),
         f"with {ENTITIES}, t as (select product_id, list(distinct entity_type) as ts from e0 group by 1) select product_id, array_to_string(list_sort(list_filter({S.lst(fixed.ENTITY_TYPES)}, lambda x: not list_contains(ts, x))), ',') as missing from t",
     ),
-    "brand_removal": (lambda s, d: table(s, d, "part").select("p_partkey", E.without_brands(F.concat("p_brand", F.lit(" - "), F.col("p_name"), F.lit(" pty ltd ,")), [b.replace("#", "") for b in BRANDS] + ["Brand"]).alias("name")), "select p_partkey, '#' || substr(p_brand, 7) || ' - ' || p_name as name from part"),
+    "brand_removal": (lambda s, d: table(s, d, "part").select("p_partkey", E.without_brands(F.concat("p_brand", F.lit(" - "), F.col("p_name"), F.lit(" pty ltd ,")), BRANDS).alias("name")), "select p_partkey, p_name as name from part"),
     "entity_path_clean": (lambda s, d: table(s, d, "part").select("p_partkey", E.clean_path(F.concat(F.lit("Hardware › Acme > "), F.col("p_type"), F.lit(" » acme Tap")), ["Acme"]).alias("path")), "select p_partkey, 'Hardware > ' || p_type || ' > Tap' as path from part"),
     "final_path": (lambda s, d: table(s, d, "part").select("p_partkey", E.final_path(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("Product > Unknown"), F.when(F.col("p_size") % 3 == 0, F.lit("Tools"))).alias("path")), "select p_partkey, case when p_size % 2 = 0 then p_type when p_size % 3 = 0 then 'Tools' else 'Product > Unknown' end as path from part"),
     "search_hits_topk": (lambda s, d: search.top_hits(_hits(s, d), 4), f"with {HITS}, c as (select * from hits where pos < 4) select query_key, title, min(pos)::int as pos, arg_max(source, (pos, source, price)) as source, arg_max(price, (pos, source, price)) as price, arg_max_null(link, (pos, source, price)) as link from c group by 1, 2"),
@@ -221,24 +273,24 @@ DEFINED = {
     "backup_topup": (lambda s, d: search.topped_up(_ranked(s, d)), f"with {RESULTS}, b as (select *, coalesce(sum(ok::int) over (partition by batch order by idx rows between unbounded preceding and 1 preceding), 0) as before from res), t as (select batch, idx, ok, row_number() over (partition by batch order by idx) as n from b where (idx < 8 or before < 8) and ok) select batch, idx, ok from t where n <= 8"),
     "batch_totals": (lambda s, d: search.batch_totals(_ranked(s, d)), f"with {RESULTS} select batch, count(*) as total, count_if(ok)::bigint as successes, count_if(not ok)::bigint as failures from res group by 1"),
     "title_relevance": (
-        lambda s, d: table(s, d, "documents").select("doc_id", T.is_relevant(F.substring("text", 40, 400), F.left("text", F.lit(40))).alias("relevant")),
-        rf"with t as (select doc_id, lower(substr(text, 40, 400)) as x, list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(left(text, 40)), '[^\x00-\x7F\P{{L}}]', '_', 'g'), '\b([a-z]{{3,}})\b', 1)), lambda w: not list_contains({S.lst(fixed.RELEVANCE_STOP_WORDS)}, w)) as w from documents) select doc_id, case when x = '' or len(w) = 0 then true else len(list_filter(w, lambda y: contains(x, y))) / len(w) >= 0.3 end as relevant from t where true",
+        lambda s, d: table(s, d, "pages").select("page_id", T.is_relevant(F.regexp_replace("html", "(?s)<title.*?</title>|<h1.*?</h1>", " "), F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)).alias("relevant")),
+        rf"with t as (select page_id, lower(regexp_replace(html, '(?s)<title.*?</title>|<h1.*?</h1>', ' ', 'g')) as x, list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '[^\x00-\x7F\P{{L}}]', '_', 'g'), '\b([a-z]{{3,}})\b', 1)), lambda w: not list_contains({S.lst(fixed.RELEVANCE_STOP_WORDS)}, w)) as w from pages) select page_id, case when x = '' or len(w) = 0 then true else len(list_filter(w, lambda y: contains(x, y))) / len(w) >= 0.3 end as relevant from t",
     ),
     "heading_score": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.round(T.heading_score(F.concat(F.element_at(T.literals(["Key Features of ", "About ", "Main product details ", "Technical ", "Zzz "]), F.col("p_size") % 5 + 1), F.col("p_name"))), 4).alias("score")),
         f"select p_partkey, round({HEADING}, 4)::double as score from (select p_partkey, lower((['Key Features of ', 'About ', 'Main product details ', 'Technical ', 'Zzz '])[p_size % 5 + 1] || p_name) as x from part)",
     ),
-    "jaccard": (lambda s, d: table(s, d, "documents").select("doc_id", F.round(T.word_overlap(F.lower(F.substring("text", 1, 200)), F.lower(F.substring("text", 100, 200))), 6).alias("j")), f"select doc_id, round({OVERLAP('lower(substr(text, 1, 200))', 'lower(substr(text, 100, 200))')}, 6)::double as j from documents"),
+    "jaccard": (lambda s, d: table(s, d, "documents").select("doc_id", F.round(T.word_overlap(F.lower("text"), F.lower(F.regexp_replace("text", r"[aeiou]\S*", ""))), 6).alias("j")), f"select doc_id, round({OVERLAP('a', 'b')}, 6)::double as j from (select doc_id, lower(text) as a, lower(regexp_replace(text, '[aeiou]\\S*', '', 'g')) as b from documents)"),
     "bot_challenge": (
         lambda s, d: table(s, d, "pages").select("page_id", T.is_challenge(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Just a moment"), F.substring("html", 1, 100))).when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("Cloudflare RAY ID"))).otherwise(F.col("html"))).alias("challenge")),
         f"with h as (select page_id, lower(case when page_id % 3 = 0 then 'Just a moment' || substr(html, 1, 100) when page_id % 5 = 0 then html || 'Cloudflare RAY ID' else html end) as h from pages) select page_id, (length(h) < 3000 and len(list_filter({S.lst(fixed.CHALLENGE_PHRASES)}, lambda p: contains(h, p))) > 0) or contains(h, 'checking your browser before accessing') or (contains(h, 'verify you are human') and length(h) < 10000) or (contains(h, 'please complete the captcha') and length(h) < 10000) or (contains(h, 'cloudflare') and contains(h, 'ray id') and length(h) < 15000) as challenge from h",
     ),
     "clip_text": (lambda s, d: table(s, d, "documents").select("doc_id", T.clipped(F.col("text"), 200).alias("text")), f"select doc_id, case when length(t) <= 200 then t else rtrim(left(t, 199)) || '…' end as text from (select doc_id, {S.squeezed('text')} as t from documents)"),
     "meta_title": (lambda s, d: H.extracted(table(s, d, "pages")).select("page_id", "meta_title"), r"select page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) as meta_title from pages"),
-    "jsonld_extract": (lambda s, d: H.extracted(_synthetic_pages(s, d)).filter("doc_id % 4 = 0").select("doc_id", F.col("product_description").alias("text"), "extraction_method"), f"select doc_id, {S.squeezed(BODY)} as text, 'jsonld' as extraction_method from documents where {PAGED} and doc_id % 4 = 0"),
-    "js_product_data": (lambda s, d: H.extracted(_synthetic_pages(s, d)).filter("doc_id % 4 = 1").select("doc_id", F.col("product_description").alias("text"), "extraction_method"), f"select doc_id, {S.squeezed(BODY)} as text, 'javascript' as extraction_method from documents where {PAGED} and doc_id % 4 = 1"),
+    "jsonld_extract": (lambda s, d: _found(s, d, 0), _ladder("'jsonld'")),
+    "js_product_data": (lambda s, d: _found(s, d, 1), _ladder("'javascript'")),
     "html_ladder": (lambda s, d: H.extracted(table(s, d, "pages")), None),
-    "html_ladder_synthetic": (lambda s, d: H.extracted(_synthetic_pages(s, d)).select("doc_id", F.col("product_description").alias("text"), "extraction_method"), f"select doc_id, {S.squeezed(BODY)} as text, (['jsonld', 'javascript', 'main_product_section', 'meta_fallback'])[doc_id % 4 + 1] as extraction_method from documents where {PAGED}"),
+    "html_ladder_synthetic": (lambda s, d: _found(s, d), _ladder("(['jsonld', 'javascript', 'main_product_section', 'meta_fallback'])[doc_id % 4 + 1]")),
     "scrape_project": (lambda s, d: _records(s, d).select("p_partkey", "name", "price", scrape.description(F.col("features"), F.col("additional")).alias("text")), f"select p_partkey, name, price, text from {DESCRIBED}"),
     "scrape_error_filter": (lambda s, d: _records(s, d).select("p_partkey", scrape.checked(scrape.description(F.col("features"), F.col("additional"))).alias("text")), f"select p_partkey, case when not {ERROR} then text end as text from {DESCRIBED}"),
     "scrape_confidence": (
@@ -248,13 +300,90 @@ DEFINED = {
     "product_text": (lambda s, d: _records(s, d).select("p_partkey", scrape.product_text(F.col("name"), F.col("features"), F.col("additional")).alias("text")), "select p_partkey, concat_ws(' ', p_name, case when p_size % 5 <> 0 then 'Size  ' || p_size || ' cm. ' || p_type || '   Well  made' end, case when p_size % 3 = 0 then 'Access denied.' when p_size % 7 = 0 then ' Ships soon ' end) as text from part"),
     "split_features": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(scrape.split_features(F.col("text"))).alias("n")), "select doc_id, len(list_filter(string_split(text, '. '), lambda x: length(x) > 10))::int as n from documents"),
     "combine_source_text": (
-        lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("t")).select("conv_id", T.truncated(F.col("t"), 2003).alias("text")),
-        "with t as (select conv_id, string_agg(text, chr(10) order by turn, text) as t from conversations group by 1) select conv_id, case when length(t) <= 2003 then t else left(t, 2000) || '...' end as text from t",
+        lambda s, d: describe.combined(table(s, d, "conversations"), "conv_id", "turn", "text"),
+        "with t as (select conv_id, coalesce(string_agg(text, chr(10) order by turn, text) filter (text <> ''), '') as t from conversations group by 1) select conv_id, case when t = '' then 'No source text available.' when length(t) <= 2000 then t else left(t, 2000) || '...' end as source_text from t",
     ),
     "first_name_price": (
-        lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.min_by("p_name", F.when(F.col("p_size") > 10, F.col("p_partkey"))).alias("name"), F.min_by("p_retailprice", "p_partkey").alias("price")),
-        "select p_brand, arg_min(p_name, case when p_size > 10 then p_partkey end) as name, arg_min(p_retailprice, p_partkey) as price from part group by 1",
+        lambda s, d: describe.names_and_prices(table(s, d, "part").select("p_brand", F.col("p_partkey").alias("pos"), F.when(F.col("p_size") > 40, F.col("p_name")).alias("product_name"), F.when(F.col("p_size") > 45, F.lit("")).otherwise(F.col("p_type")).alias("title"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("price")), "p_brand", "pos", ["product_name", "title"], "price"),
+        "with r as (select *, case when p_size > 40 then p_name else nullif(case when p_size > 45 then '' else p_type end, '') end as n from part) select p_brand, coalesce(arg_min(n, p_partkey) filter (n is not null), 'Product') as name, (arg_min(p_retailprice, p_partkey) filter (p_size > 10))::varchar as price, count(*) as products_combined from r group by 1",
+    ),
+    "source_text": (
+        lambda s, d: _records(s, d).select("p_partkey", describe.source_text(F.col("features"), F.when(F.col("additional").isNotNull(), F.array("additional")), F.col("name")).alias("text")),
+        "select p_partkey, concat_ws('; ', case when p_size % 5 <> 0 then 'Size : ' || p_size || ' cm.' end, case when p_size % 5 <> 0 then '  Well  made' end, case when p_size % 3 = 0 then 'Access denied.' when p_size % 7 = 0 then ' Ships soon ' end, p_name) as text from part",
+    ),
+    "description_answer": (
+        lambda s, d: table(s, d, "part").select("p_partkey", describe.answered(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('```json\n{"description": "A fine '), F.col("p_name"), F.lit('", "key_features": ["a", "b"]}\n```'))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" Just "), F.col("p_name"), F.lit(" ")))).alias("a")).select("p_partkey", "a.description", F.array_join("a.key_features", ",").alias("features"), "a.word_count", "a.success"),
+        "with a as (select p_partkey, p_size % 3 as k, case p_size % 3 when 0 then 'A fine ' || p_name when 1 then 'Just ' || p_name else '' end as description from part) select p_partkey, description, case when k = 0 then 'a,b' else '' end as features, len(list_filter(string_split(description, ' '), lambda w: w <> ''))::int as word_count, k < 2 as success from a",
+    ),
+    "hybrid_entities": (
+        lambda s, d: hybrid.extracted(_products(s, d), ["acme"]).select("product_id", "product_name", "primary_entity_path", _names(F.col("rule_entities")).alias("rules"), _names(F.col("supporting_entities")).alias("merged"), "confidence", F.col("audit.llm_invoked").alias("invoked"), F.col("audit.llm_reason").alias("reason"), F.array_join("audit.notes", " / ").alias("notes"), F.array_join(F.transform("audit.conflicts", lambda c: F.concat_ws("|", c["entity_type"], c["rule_value"], c["llm_value"], c["resolution"])), ";").alias("conflicts"), F.array_join("noise_terms", ",").alias("noise")),
+        _by_turns(
+            "'Oak Desk' as product_name, 'Furniture > Office Desk And Chair' as primary_entity_path, 'dimension=120cm; weight=5kg; material=Oak; finish=Matte' as rules, 'dimension=120cm; weight=5kg; material=Oak; finish=Matte' as merged, 0.7::double as confidence, false as invoked, null::varchar as reason, 'Extracted 4 entities via rules / LLM skipped: Rules extraction sufficient / Merged 4 rules + 0 LLM → 4 entities (0 conflicts)' as notes, '' as conflicts, '' as noise",
+            "'Cotton Shirt', 'Apparel', 'material=Cotton; environment=Indoor; care=Hand Wash', 'material=Cotton; environment=Indoor; care=Hand Wash; dimension=Length 70cm', 0.3667::double, true, 'Missing critical types: [''dimension'']', 'Extracted 3 entities via rules / LLM conflicts: [''a''] / LLM extracted 3 entities / Skipped LLM entity ''Acme'' due to conflict in type ''material'' / Skipped LLM entity ''Outdoors'' due to conflict in type ''environment'' / Merged 3 rules + 3 LLM → 4 entities (2 conflicts)', 'material|Cotton|Acme|prefer_rules;environment|indoor|outdoor|prefer_rules', 'sale'",
+            "'Widget', 'Product > Unknown', '', '', 0.1::double, true, 'Forced by request', 'Extracted 0 entities via rules / LLM extraction failed: Failed to get valid response from LLM / Merged 0 rules + 0 LLM → 0 entities (0 conflicts)', '', ''",
+        ),
+    ),
+    "hybrid_plain": (
+        lambda s, d: hybrid.extracted_plain(_products(s, d), ["acme"]).select("product_id", "product_name", "primary_entity_path", F.array_join(F.transform("supporting_entities", lambda e: F.concat(e["name"], F.lit(": "), e["why_it_matters"])), "; ").alias("entities"), F.array_join(F.transform("placement_map", lambda p: F.concat(p["entity_name"], F.lit(">"), F.array_join(p["recommended_sections"], "+"))), "; ").alias("places")),
+        _by_turns(
+            f"'Oak Desk' as product_name, 'Product > Unknown' as primary_entity_path, '120cm: ' || {S.q(fixed.REASONS['dimension'])} || '; 5kg: ' || {S.q(fixed.REASONS['weight'])} || '; Oak: ' || {S.q(fixed.REASONS['material'])} || '; Matte: ' || {S.q(fixed.REASONS['finish'])} as entities, '120cm>; 5kg>; Oak>specs_table+features+care_instructions; Matte>; Specifications>specs_table' as places",
+            f"'Cotton Shirt', 'Apparel', 'Cotton: ' || {S.q(fixed.REASONS['material'])} || '; Indoor: Product is designed for indoor conditions.; Hand Wash: ' || {S.q(fixed.REASONS['care'])}, 'Cotton>specs_table+features+care_instructions; Indoor>designed_for+use_cases+features; Hand Wash>care_instructions+maintenance+faq; Specifications>specs_table'",
+            "'Widget', 'Product > Unknown', '', 'Specifications>specs_table'",
+        ),
+    ),
+    "llm_parse": (
+        lambda s, d: _products(s, d).select("product_id", hybrid.parsed(F.col("response")).alias("p")).select("product_id", "p.success", "p.primary_entity_path", _names(F.col("p.llm_entities")).alias("entities"), F.size("p.faqs").alias("faqs"), F.round("p.confidence", 4).alias("confidence"), F.array_join(F.col("p.placement_suggestions")["features"], ",").alias("features"), F.array_join("p.notes", " / ").alias("notes")),
+        _by_turns("false as success, null::varchar as primary_entity_path, '' as entities, 0 as faqs, 0.0::double as confidence, null::varchar as features, '' as notes", "true, 'Apparel > Shirt', 'material=Acme; dimension=Acme Length 70cm; environment=Outdoors', 1, 0.7::double, 'Hand Wash', 'LLM conflicts: [''a''] / LLM extracted 3 entities'", "false, null, '', 0, 0.0::double, null, ''"),
+    ),
+    "placement_llm": (
+        lambda s, d: hybrid.extracted(_products(s, d), ["acme"]).select("product_id", F.explode("placement_map").alias("p")).select("product_id", "p.entity_name", "p.entity_type", F.array_join("p.recommended_sections", "+").alias("sections"), "p.reasoning"),
+        "with x as (" + " union all ".join(f"select {k} as k, {S.q(n)} as entity_name, {S.q(t)} as entity_type, {S.q(sec)} as sections, {S.q(r)} as reasoning" for k, n, t, sec, r in [
+            *((0, n, t, "+".join(fixed.PLACEMENTS[t]), fixed.PLACEMENT_REASONS[t]) for n, t in (("120cm", "dimension"), ("5kg", "weight"), ("Oak", "material"), ("Matte", "finish"))),
+            (1, "Cotton", "material", "specs_table+features+care_instructions", fixed.PLACEMENT_REASONS["material"]), (1, "Indoor", "environment", "designed_for+use_cases+features", fixed.PLACEMENT_REASONS["environment"]),
+            (1, "Hand Wash", "care", "care_instructions+maintenance+faq+features+designed_for", fixed.PLACEMENT_REASONS["care"]), (1, "Length 70cm", "dimension", "specs_table+hero_copy+faqs", fixed.PLACEMENT_REASONS["dimension"]),
+            *((k, "Specifications", "core_attributes", "specs_table", fixed.GROUP_PLACEMENTS[0][4]) for k in (0, 1, 2)),
+        ]) + ") select p_partkey as product_id, entity_name, entity_type, sections, reasoning from part join x on p_size % 3 = k",
+    ),
+    "term_grouping": (
+        lambda s, d: _products(s, d).select("product_id", hybrid.grouped_terms(F.col("terms"), F.col("groups")).alias("g")).select("product_id", F.array_join(F.array_sort(F.transform(F.map_entries("g.grouped"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], ",")))), ";").alias("grouped"), F.array_join("g.noise", ",").alias("noise")),
+        _by_turns("'Core Attributes:matte' as grouped, '' as noise", "'Care Instructions:hand wash;Core Attributes:blue', 'sale'", "'Core Attributes:blue', ''"),
+    ),
+    "llm_gate": (
+        lambda s, d: table(s, d, "part").select("p_partkey", hybrid.gate(F.when(F.col("p_size") % 4 == 0, T.literals(["care", "dimension", "material"])).otherwise(T.literals(["care"])), F.col("p_size") / 100, 0.3).alias("g")).select("p_partkey", "g.invoke", "g.reason"),
+        "select p_partkey, p_size % 4 = 0 or p_size < 30 as invoke, case when p_size % 4 = 0 then 'Missing critical types: [''material'', ''dimension'']' when p_size < 30 then 'Low rules confidence: ' || printf('%.2f', p_size / 100) || ' < 0.3' else 'Rules extraction sufficient' end as reason from part",
+    ),
+    "llm_prompt": (
+        lambda s, d: _products(s, d).withColumn("r", hybrid.rules_result(F.col("product_name"), F.col("terms"), F.col("description"), F.col("search_query"))).select("product_id", F.contains(hybrid.prompt(F.col("product_name"), F.lit(None).cast("string"), F.col("description"), F.lit(None).cast("string"), F.transform("terms", lambda t: F.struct(t.alias("phrase"), F.lit(0.12345).alias("tfidf_score"))), F.col("r.missing_types"), F.col("r.rule_entities"), F.col("r.conflicts"), F.col("search_query")), F.lit('{"tfidf_terms":{"blue":0.123')).alias("has_terms")),
+        _by_turns("false as has_terms", "true", "true"),
+    ),
+    "request_terms": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(hybrid.request_terms(F.concat(F.lit('[{"term": "'), F.col("p_name"), F.lit('", "score": 1.5, "docFreq": '), F.col("p_size"), F.lit('}, {"phrase": "x", "term": "y", "importanceScore": "7"}]')))).alias("t")).select("p_partkey", "t.*"),
+        "select p_partkey, p_name as phrase, 1.5::double as tfidf_score, p_size::bigint as doc_freq, 0.0::double as importance_score, 'tfidf' as source from part union all select p_partkey, 'x', 0.0, 1, 7.0, 'tfidf' from part",
+    ),
+    "products_required": (lambda s, d: hybrid.required(_products(s, d).withColumn("product_name", F.when(F.col("product_id") % 3 == 0, "").otherwise(F.col("product_name"))).withColumn("terms", F.when(F.col("product_id") % 5 != 0, F.col("terms")))).select("product_id"), "select p_partkey as product_id from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0"),
+    "brand_only": (lambda s, d: table(s, d, "part").select("p_partkey", E.is_brand_only(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" kettle"))), BRANDS).alias("only"), E.has_brand(F.concat(F.lit("a "), F.lower("p_brand")), BRANDS).alias("has")), "select p_partkey, p_size % 2 = 0 as only, true as has from part"),
+    "standard_descriptions": (
+        lambda s, d: E.described(table(s, d, "part").select("p_partkey", F.concat(F.lit("iso "), F.col("p_size") % 4).alias("name")), s.createDataFrame([(1, "ISO 1", "second"), (0, "iso 1", "first"), (2, "Iso 2", "two")], "region_pos int, name string, description string")),
+        "select p_partkey, 'iso ' || (p_size % 4) as name, case p_size % 4 when 1 then 'first' when 2 then 'two' end as description from part",
+    ),
+    "entities_by_type": (lambda s, d: E.by_type(_entities(s, d)).select("product_id", "entity_type", F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("names")), f"with {ENTITIES} select product_id, entity_type, string_agg(name, ',' order by pos, origin, name) as names from e0 group by 1, 2"),
+    "hits_linked": (lambda s, d: search.linked(_hits(s, d)).groupBy("query_key").agg(F.count("*").alias("n")), f"with {HITS} select query_key, count(*) as n from hits where coalesce(link, '') <> '' group by 1"),
+    "urls_requested": (lambda s, d: search.requested(table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "  ").when(F.col("page_id") % 3 == 1, F.col("url")).alias("url"))).select("page_id"), "select page_id from pages where page_id % 3 = 1 and trim(url) <> ''"),
+    "results_adapted": (
+        lambda s, d: scrape.adapted(_extraction_results(s, d)).select("url", "product_name", "price", F.array_join(F.transform("features", lambda f: F.concat_ws("=", f["heading"], f["description"])), "|").alias("features")),
+        "select p_partkey::varchar as url, case when p_size % 2 = 0 then p_name else p_type end as product_name, p_retailprice::varchar as price, case when p_size % 3 = 0 then 'Size=' || p_size else '=This one is long enough' || case when length(p_name) > 10 then '|=' || p_name else '' end end as features from part where p_size % 5 <> 0",
+    ),
+    "results_without_errors": (lambda s, d: search.without_errors(_extraction_results(s, d)).select("url"), "select p_partkey::varchar as url from part where p_size % 5 <> 0"),
+    "scrape_status": (
+        lambda s, d: table(s, d, "pages").select("page_id", scrape.method(F.when(F.col("page_id") % 7 != 0, F.col("url")).otherwise(" "), F.when(F.col("page_id") % 3 == 0, 200).when(F.col("page_id") % 3 == 1, 500)).alias("method")),
+        "select page_id, case when page_id % 7 = 0 then null when page_id % 3 = 0 then 'firecrawl' when page_id % 3 = 1 then 'firecrawl_api_error' else 'firecrawl_error' end as method from pages",
+    ),
+    "scrape_unwrap": (
+        lambda s, d: table(s, d, "part").select("p_partkey", connectors.scraped(F.concat(F.when(F.col("p_size") % 2 == 0, F.lit('{"success": true, "data": {')).otherwise(F.lit("{")), F.when(F.col("p_size") % 3 == 0, F.lit('"json"')).otherwise(F.lit('"extract"')), F.lit(': {"product_name": "'), F.col("p_name"), F.lit('"}}'), F.when(F.col("p_size") % 2 == 0, F.lit("}")).otherwise(""))).getField("product_name").alias("name")),
+        "select p_partkey, p_name as name from part",
     ),
+    "record_normalised": (lambda s, d: scrape.normalised(table(s, d, "pages").select("url", F.lit("m").alias("extraction_method"), F.lit(1).alias("extra")), True).select("url", "product_name", "extraction_method", "confidence_score"), "select url, null::varchar as product_name, 'm' as extraction_method, null::double as confidence_score from pages"),
+    "cache_eviction": (lambda s, d: search.evicted(table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("stored"))).select("key"), "select o_orderkey as key from orders where o_orderkey not in (select o_orderkey from orders order by o_orderdate, o_orderkey limit 20)"),
     "url_valid": (lambda s, d: table(s, d, "pages").select("page_id", T.is_url(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("ftp://x")).alias("ok"), T.checked_url(F.concat("url", F.lit("//"))).alias("checked")), r"select page_id, page_id % 2 = 0 and regexp_matches(url, '^https?://[^/?#\s]+') as ok, case when regexp_matches(url, '^https?://[^/?#\s]+') then regexp_replace(url || '//', '/+$', '') end as checked from pages"),
     "price_valid": (lambda s, d: _records(s, d).select("p_partkey", T.is_price(F.col("price")).alias("ok")), "select p_partkey, p_size % 2 = 0 as ok from part"),
     "numbers": (lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(T.numbers(F.col("text"))).alias("pos", "value")), r"select doc_id, (generate_subscripts(v, 1) - 1)::int as pos, unnest(v)::double as value from (select doc_id, regexp_extract_all(text, '(-?\d+(?:\.\d+)?)', 1) as v from documents)"),
@@ -264,10 +393,10 @@ DEFINED = {
     "alphanumeric": (lambda s, d: table(s, d, "documents").select("doc_id", T.alphanumeric(F.col("text")).alias("text")), r"select doc_id, regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g') as text from documents"),
     "request_ttl_dedupe": (
         lambda s, d: dedupe.first_in_window(table(s, d, "events"), "user_id", "ts", 300).select("event_id", "user_id"),
-        "with e as (select event_id, user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as before from events) select event_id, user_id from e where before is null or ts - before >= interval 300 seconds",
+        "with recursive s as (select user_id, min(ts) as ts from events group by 1 union all select e.user_id, min(e.ts) from s join events e on e.user_id = s.user_id and e.ts >= s.ts + interval 300 seconds group by e.user_id) select min(event_id) as event_id, e.user_id from s join events e on e.user_id = s.user_id and e.ts = s.ts group by e.user_id, e.ts",
     ),
     "report_text": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.concat_ws("\n", F.lit("PRODUCT DESCRIPTION"), F.concat(F.lit("Name: "), F.col("p_name")), F.when(F.col("p_size") % 2 == 0, F.format_string("Price: $%.2f", "p_retailprice")), F.concat(F.lit("Words: "), F.size(F.split("p_name", " ")).cast("string"))).alias("report")),
-        "select p_partkey, concat_ws(chr(10), 'PRODUCT DESCRIPTION', 'Name: ' || p_name, case when p_size % 2 = 0 then printf('Price: $%.2f', p_retailprice) end, 'Words: ' || len(string_split(p_name, ' '))) as report from part",
+        lambda s, d: table(s, d, "part").select("p_partkey", sinks.report(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.format_string("$%.2f", "p_retailprice")), F.concat("p_type", F.lit("  goods ")), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>"))).alias("report")),
+        "select p_partkey, concat_ws(chr(10), repeat('=', 60), 'PRODUCT DESCRIPTION', repeat('=', 60), 'Product: ' || p_name, case when p_size % 2 = 0 then printf('Price: $%.2f', p_retailprice) end, 'Words: ' || (len(string_split(p_type, ' ')) + 1), chr(10) || p_type || '  goods ', case when p_size % 3 = 0 then chr(10) || 'Keywords: ' || p_brand || ', ' || p_type end, repeat('=', 60)) as report from part",
     ),
 }

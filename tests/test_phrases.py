@@ -14,8 +14,9 @@ def test_corpus_of_an_empty_table(spark):
     assert P.corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_corpus_cleans_above_the_spread(spark):
-    df = spark.createDataFrame([(1, "Teak Table")], "doc_id long, text string")
+def test_corpus_cleans_above_the_spread(spark, tmp_path):
+    spark.createDataFrame([(1, "Teak Table")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
     plan = P.corpus(df)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Repartition", 1)
     assert "regexp_replace" in above and "regexp_replace" not in below
