@@ -351,16 +351,21 @@ def test_every_preceding_word_is_a_context(spark):
     assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.5
 
 
-def test_predictive_probabilities_sum_to_one():
+def small_bucket(hot=()):
+    """A bucket of 50 words in 4 contexts, and its totals as the rounds have them."""
     r = np.random.default_rng(1)
-    word, ctx = r.integers(0, 50, 4000), r.integers(0, 4, 4000)
-    keys, counts = hpylm.merged((word.astype(np.uint64) << np.uint64(8)) | ctx.astype(np.uint64), np.ones(4000, np.int64))
-    b = hpylm.Bucket(keys, counts)
-    sums = lambda x: np.bincount(b.context, x, 256)
-    m = b.sums(b.t)
-    totals = hpylm.Totals(sums(b.c), sums(b.t), m.sum(), b.t0.sum(), 50)
-    b.sampled(totals, 3, 2, 4)
-    totals = hpylm.Totals(sums(b.c), sums(b.t), b.sums(b.t).sum(), b.t0.sum(), 50)
+    word, ctx = r.integers(0, 50, 4000).astype(np.uint64), r.integers(0, 4, 4000).astype(np.uint64)
+    _, w, x, c = hpylm.distinct(hpylm.pair_of(word, ctx), word, ctx, np.ones(4000, np.int64))
+    order = np.argsort(w, kind="stable")
+    first = hpylm.starts(w[order])
+    b = hpylm.Bucket(w[order][first], np.diff(np.append(first, len(w))), x[order], c[order], hot=np.array(hot, np.uint64))
+    return b, lambda: hpylm.Totals(b.in_context(b.c), b.in_context(b.t), b.sums(b.t).sum(), b.t0.sum(), 50, hot_parent=np.full(len(hot), 0.02), hot_count=np.full(len(hot), 80.0))
+
+
+def test_predictive_probabilities_sum_to_one():
+    b, totals = small_bucket()
+    b.sampled(totals(), 3, 2, 4)
+    totals = totals()
     parent = totals.parent(b.sums(b.t), b.t0)
     assert parent.sum() + totals.unknown() == pytest.approx(1)
     for c in range(4):
@@ -370,6 +375,52 @@ def test_predictive_probabilities_sum_to_one():
         assert p.sum() + totals.back_off()[c] * totals.unknown() == pytest.approx(1)
 
 
+def test_mean_of_counts_gives_the_mean_of_probabilities():
+    """Averaged table counts against probabilities computed in each sample, under a round's totals."""
+    b, totals = small_bucket()
+    fixed, rng = totals(), np.random.default_rng(5)
+    seen = []
+    for i in range(6):
+        b.sweep(fixed, rng)
+        if i >= 2:
+            seen.append(fixed.pair(b.context, b.c, b.t, b.parent(fixed)[b.of]))
+    again, _ = small_bucket()
+    again.sampled(fixed, 5, 2, 4)
+    assert np.allclose(np.mean(seen, 0), fixed.pair(again.context, again.c, again.t, again.parent(fixed)[again.of]))
+
+
+def test_hot_words_take_their_parent_from_the_totals():
+    b, totals = small_bucket(hot=(3, 7, 999))
+    b.sweep(totals(), np.random.default_rng(0))
+    assert b.is_hot.sum() == 2 and (b.parent(totals())[b.is_hot] == 0.02).all() and (b.counts(totals())[b.is_hot] == 80).all()
+
+
+def test_seating_of_many_customers():
+    """Tables of 500 customers, drawn in one go, against seating them one by one."""
+    rng, c, x, d = np.random.default_rng(2), 500, 3.0, 0.6
+    drawn = hpylm.drawn_tables(np.full(4000, c), np.full(4000, x), d, rng)
+    seated = []
+    for _ in range(1500):
+        t = 1
+        for n in range(1, c):
+            t += rng.random() < x / (n - d * t + x)
+        seated.append(t)
+    assert abs(drawn.mean() - np.mean(seated)) < 4 * np.std(seated) * (1 / 1500 + 1 / 4000) ** 0.5
+
+
+def test_scores_hardly_depend_on_buckets(spark, monkeypatch):
+    texts = [prose(i, 60 + i % 50) for i in range(150)]
+    monkeypatch.setattr(hpylm, "FREQUENT", 200)  # few pairs are scored at the source
+    got = []
+    for size, hot in ((6_000_000, 2048), (700, 20)):
+        monkeypatch.setattr(hpylm, "BUCKET_TOKENS", size)
+        monkeypatch.setattr(hpylm, "HOT", hot)
+        got.append(rows(hpylm.scores(documents(spark, texts)), "doc_id"))
+    one, many = got
+    assert all(one[i].base_score == pytest.approx(many[i].base_score) and one[i].n_known == many[i].n_known for i in one)
+    assert max(abs(one[i].score - many[i].score) / one[i].n_tokens for i in one) < 0.08
+
+
 def test_table_draws_follow_the_seating_process():
     rng = np.random.default_rng(2)
     t = hpylm.drawn_tables(np.full(40_000, 5), np.full(40_000, 0.7), 0.5, rng)
