@@ -6,7 +6,7 @@ to the unknown word. A customer is a token; each table of a context restaurant s
 
 Seating is sampled by Gibbs in blocks: the number of tables of a dish in a restaurant is drawn given everything else. Up to 64
 customers the draw is exact (generalised Stirling numbers); more are seated one after the other by the restaurant's conditional
-probabilities, beyond 4096 in stretches of a 256th of those seated. Pairs are dealt to buckets by their words' hashes, so that
+probabilities, beyond 256 in stretches of a 64th of those seated. Pairs are dealt to buckets by their words' hashes, so that
 all counts of a word lie in its bucket and a sweep needs from elsewhere only the totals of the restaurants in which its words
 sit. Contexts are dealt to buckets of their own, which add these totals up and send them to the word buckets between rounds. Pairs of hot
 words are dealt by both words, as one such word has too many contexts for one bucket; what the parent holds of them is summed, and their
@@ -39,10 +39,12 @@ from .words import NOT_SPACE, U64, buffers, mix, pieces, words
 FREQUENT = 1 << 18
 BUCKET_TOKENS, TOKEN_BYTES = 1_500_000, 6
 #: Distinct pairs that a task gathers, and tokens that it scores, before it sends them on.
-GATHERED, SEGMENT_TOKENS = 500_000, 2_500_000
+GATHERED, SEGMENT_TOKENS = 500_000, 1_500_000
+#: Tokens, and segments' rows, that a bucket looks up together.
+JUDGED_TOKENS, JUDGED_ROWS = 300_000, 256
 #: Words that have a short code, bytes of text that they are found in, and words with at least one in HOT of its tokens, which are hot.
 CODES, SAMPLE_BYTES, HOT = 65_535, 16 << 20, 2_048
-EXACT, ONE_BY_ONE, STRETCH = 64, 4_096, 256
+EXACT, ONE_BY_ONE, STRETCH = 64, 256, 64
 ROUNDS, BURN_IN, SAMPLES = 2, 2, 4
 STRENGTH, UNKNOWN = 1.0, 0.5
 END, START = mix(np.array([0x0123456789ABCDEF, 0x76543210FEDCBA98], U64))
@@ -155,7 +157,8 @@ def place(hashed: np.ndarray, buckets: int) -> np.ndarray:
 
 def dealt(bucket: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order by bucket and key, and each bucket's range in it."""
-    order = np.lexsort((keys, bucket))
+    order = np.argsort(keys)
+    order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     return order, [(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
 
@@ -397,7 +400,7 @@ def gathered(train: DataFrame, codes: Codes, buckets: int) -> DataFrame:
 
 def distinct(pair: np.ndarray, w: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """Distinct pairs in order, their words and contexts, and the sum of each one's counts."""
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     pair = pair[order]
     first = starts(pair)
     return [pair[first], w[order[first]], ctx[order[first]], np.add.reduceat(c[order], first) if len(first) else c]
@@ -487,17 +490,17 @@ def _row_table(out: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array(c, t) for c, (k, t) in zip(columns, ROW_KINDS.items(), strict=True)})
 
 
-def _summed(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """The texts that occur, as differences, and the sums of each one's values."""
-    some, at = np.unique(doc, return_inverse=True)
-    return [np.diff(some, prepend=0).astype(np.uint32), *(np.bincount(at, v, len(some)) for v in values)]
-
-
-def _sums_row(segment: int, doc: np.ndarray, logp: np.ndarray, word_doc: np.ndarray, count: np.ndarray) -> tuple:
-    """Sums of log10 of the probability of texts, and of log10(count + 1) and of known words, of the tokens given for each."""
-    a, score = _summed(doc, logp)
-    b, base, known = _summed(word_doc, np.log10(count + 1.0), (count > 0).astype(float))
-    return -1, segment, None, None, None, pack(a, score.astype(np.float32), b, base, known.astype(np.uint32))
+def _sums_rows(segments: list[int], row: np.ndarray, doc: np.ndarray, logp: np.ndarray, word_row: np.ndarray, word_doc: np.ndarray, count: np.ndarray) -> list[tuple]:
+    """For each segment, sums over the tokens given for each of its texts: of log10 of the probability, and of log10(count + 1) and of known words."""
+    width = 1 + max(int(doc.max(initial=0)), int(word_doc.max(initial=0)))
+    grid = lambda r, d, v: np.bincount(r * width + d, v, len(segments) * width).reshape(len(segments), width)
+    row, word_row, doc, word_doc = (x.astype(np.int64) for x in (row, word_row, doc, word_doc))
+    score, base, known = grid(row, doc, logp), grid(word_row, word_doc, np.log10(count + 1.0)), grid(word_row, word_doc, (count > 0).astype(float))
+    out = []
+    for i, segment in enumerate(segments):
+        a, b = np.flatnonzero(score[i]), np.flatnonzero(base[i])  # a text whose sum is zero needs no row; a known word has a positive base
+        out.append((-1, segment, None, None, None, pack(np.diff(a, prepend=0).astype(np.uint32), score[i, a].astype(np.float32), np.diff(b, prepend=0).astype(np.uint32), base[i, b], known[i, b].astype(np.uint32))))
+    return out
 
 
 def _lookup(rows: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -530,7 +533,8 @@ def partial_scores(docs: DataFrame, model: DataFrame, contexts: DataFrame, total
             i, usual = found(pairs, pair)
             j, counted = found(common, w)
             n = np.bincount(doc, minlength=len(ids)).astype(np.int32).tobytes()
-            rows = [(-1, segment, ids, held, n, None), _sums_row(segment, doc[usual], pair_logp[i[usual]], doc[counted], common_count[j[counted]])]
+            zeros = lambda x: np.zeros(len(x), np.int64)
+            rows = [(-1, segment, ids, held, n, None), *_sums_rows([segment], zeros(doc[usual]), doc[usual], pair_logp[i[usual]], zeros(doc[counted]), doc[counted], common_count[j[counted]])]
             left = np.flatnonzero(~usual)
             bucket = codes.bucket(w[left], pair[left], buckets)
             pair = usual = i = j = counted = None
@@ -562,11 +566,14 @@ def partial_scores(docs: DataFrame, model: DataFrame, contexts: DataFrame, total
             key, own_logp = key[order], own_logp[order]
         else:
             own_words, key, own_logp, own_count, own_parent = NONE, NONE, np.zeros(0, np.float32), NONE, np.zeros(0, np.float32)
-        for bucket, segment, ids, held, n, data in zip(*(left[c] for c in ROW_KINDS), strict=True):
-            if bucket.as_py() < 0:
-                out.append((-1, segment.as_py(), ids.as_py(), held.as_py(), n.as_py(), data.as_py()))
-                continue
-            w, size, ctx, (doc,) = codes.unpack_runs(data.as_py())
+        open_: list[tuple[np.ndarray, ...]] = []  # contexts of unseen pairs, segments and texts
+        waiting: list[tuple] = []
+
+        def settle() -> None:
+            segments = [r[0] for r in waiting]
+            w, size, ctx, doc = (np.concatenate([r[k] for r in waiting]) for k in (1, 2, 3, 4))
+            row = np.repeat(np.arange(len(waiting)), [len(r[3]) for r in waiting])
+            waiting.clear()
             at, there = found(own_words, w)
             count, parent = np.zeros(len(w)), np.full(len(w), unknown)
             count[there], parent[there] = own_count[at[there]], own_parent[at[there]]
@@ -575,11 +582,28 @@ def partial_scores(docs: DataFrame, model: DataFrame, contexts: DataFrame, total
             logp = parent[of]
             logp[seen] = own_logp[i[seen]]
             rare = ~found(common, w)[1][of]
-            out.append(_sums_row(segment.as_py(), doc, logp, doc[rare], count[of[rare]]))
-            asked, doc = ctx[~seen], doc[~seen]
-            order, ranges = dealt(place(asked, buckets), asked, buckets)
+            out.extend(_sums_rows(segments, row, doc, logp, row[rare], doc[rare], count[of[rare]]))
+            open_.append((ctx[~seen], np.array(segments, np.int64)[row[~seen]], doc[~seen]))
+
+        tokens_in = 0
+        for bucket, segment, ids, held, n, data in zip(*(left[c] for c in ROW_KINDS), strict=True):
+            if bucket.as_py() < 0:
+                out.append((-1, segment.as_py(), ids.as_py(), held.as_py(), n.as_py(), data.as_py()))
+                continue
+            w, size, ctx, (doc,) = codes.unpack_runs(data.as_py())
+            waiting.append((segment.as_py(), w, size, ctx, doc))
+            tokens_in += len(doc)
+            if tokens_in > JUDGED_TOKENS or len(waiting) == JUDGED_ROWS:
+                settle()
+                tokens_in = 0
+        if waiting:
+            settle()
+        if open_:
+            ctx, segment, doc = (np.concatenate(x) for x in zip(*open_, strict=True))
+            order, ranges = dealt(place(ctx, buckets), ctx, buckets)
             for b, s in ranges:
-                out.append((buckets + b, segment.as_py(), None, None, None, pack(*codes.coded(asked[order[s]]), doc[order[s]])))
+                some, number = np.unique(segment[order[s]], return_inverse=True)
+                out.append((buckets + b, -1, None, None, None, pack(*codes.coded(ctx[order[s]]), doc[order[s]], number.astype(np.uint32), some)))
         return _row_table(out)
 
     def judge_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -587,10 +611,17 @@ def partial_scores(docs: DataFrame, model: DataFrame, contexts: DataFrame, total
         if len(right):
             code, rest, c, t = unpack(right["data"][0].as_py())
             keys, value = codes.decoded(code, rest), np.log10(totals.of(c.astype(float), t.astype(float)).back_off())
-        for segment, data in zip(left["segment"], left["data"], strict=True):
-            code, rest, doc = unpack(data.as_py())
-            i, there = found(keys, codes.decoded(code, rest))
-            out.append(_sums_row(segment.as_py(), doc[there], value[i[there]], doc[:0], value[:0]))
+        parts = [unpack(x.as_py()) for x in left["data"]]
+        if not parts:
+            return _row_table(out)
+        ctx, doc, segment = (np.concatenate(x) for x in zip(*((codes.decoded(p[0], p[1]), p[2], p[4][p[3]]) for p in parts), strict=True))
+        i, there = found(keys, ctx)
+        segments, row = np.unique(segment[there], return_inverse=True)
+        doc, logp, order = doc[there], value[i[there]], np.argsort(row, kind="stable")
+        for lo in range(0, len(segments), JUDGED_ROWS):
+            a, b = np.searchsorted(row[order], [lo, lo + JUDGED_ROWS])
+            own = order[a:b]
+            out += _sums_rows(segments[lo : lo + JUDGED_ROWS].tolist(), row[own] - lo, doc[own], logp[own], row[:0], doc[:0], logp[:0])
         return _row_table(out)
 
     asked = docs.select("k", "t", "held").mapInArrow(spread, ROW)
