@@ -20,7 +20,7 @@ def counts(texts: pa.Array, table: np.ndarray = LETTERS, dim: int = DIM) -> np.n
     """A row for each text: how often each hashed 1-, 2- and 3-gram of its bytes, as the table maps them, occurs."""
     data, at = buffers(texts)
     out = np.zeros((len(at) - 1, dim), np.float32)
-    for lo, hi in pieces(data, at, 1 << 20):
+    for lo, hi in pieces(data, at, 1 << 18):
         part = at[lo : hi + 1] - at[lo]
         low = table[data[at[lo] : at[hi]]].astype(np.uint32)
         doc = np.repeat(np.arange(hi - lo), np.diff(part))

@@ -6,14 +6,16 @@ checkpoint(), doesn't compute its input twice.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lets Spark delete a query's shuffle files when the query has ended, instead of when the driver collects its garbage.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. The first lets Spark delete a query's shuffle files when the query has ended, instead of when
+#: the driver collects its garbage; the second keeps the Arrow batches of texts small beside the executor's heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,15 +41,17 @@ class Scratch:
         """Write df and read it back. The shuffle files that it took are deleted, as nothing reads them again."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        before = self.spark.conf.get(CLEAN_SHUFFLES, None)
-        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        before = {name: self.spark.conf.get(name, None) for name in WRITING}
         try:
+            for name, value in WRITING.items():
+                self.spark.conf.set(name, value)
             df.write.parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEAN_SHUFFLES)
-            else:
-                self.spark.conf.set(CLEAN_SHUFFLES, before)
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -62,8 +66,19 @@ class Scratch:
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most `rows`. Texts can be long: few of them at a time keep a Python worker's memory bounded.
 
-    Spark itself bounds the bytes of a batch, so no session setting is needed, nor changed.
+    Spark itself bounds the bytes of a batch, so no session setting is needed, nor changed. At the end the worker, which lives on
+    beside the executor's JVM, gives the memory that it no longer uses back to the system.
     """
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    b = None
+    release()
+
+
+def release() -> None:
+    """Give free memory of Arrow's pool and of the C heap (where it has malloc_trim) back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -60,7 +60,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def pieces(data: np.ndarray, at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together; a longer text stands alone."""
     a, n = 0, len(at) - 1
     while a < n:
