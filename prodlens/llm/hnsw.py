@@ -23,7 +23,7 @@ from .scratch import Scratch, sliced
 #: Distinct vectors in a shard, about; a shard is built in one task's memory.
 SHARD_ROWS = 8192
 #: Neighbours of a node in the upper layers (twice as many in the lowest), and candidates kept while building and searching.
-LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 96, 160
+LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 96, 256
 #: Points that are added to a graph at once, and queries searched at once.
 BATCH = 256
 #: Queries sent to all shards together, at most.
@@ -105,12 +105,12 @@ class Graph:
             at = self.search_layer(q, at, layer, 1)[0]
         return at
 
-    def spread(self, base: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
-        """Of candidates in order of distance, those nearer to the point than to any chosen before; then the nearest others."""
+    def spread(self, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+        """Of the candidates in order of distance from a point, the positions of those nearer to it than to any chosen before; then the nearest others."""
         ids = ids[:64]
         p = self.points[ids]
         apart = self.square[ids][:, None] + self.square[ids][None] - 2 * p @ p.T
-        own = dist[: len(ids)] + base @ base
+        own = dist[: len(ids)]
         chosen: list[int] = []
         bound = np.full(len(ids), np.inf, np.float32)  # from each candidate to the nearest one chosen
         for i, d in enumerate(own.tolist()):
@@ -121,7 +121,7 @@ class Graph:
                 np.minimum(bound, apart[i], out=bound)
         taken = set(chosen)
         chosen += [i for i in range(len(ids)) if i not in taken][: most - len(chosen)]
-        return ids[chosen]
+        return np.array(chosen, np.intp)
 
     def add(self, new: np.ndarray, width: int) -> None:
         """Link a batch of points with those added before and with one another."""
@@ -132,6 +132,7 @@ class Graph:
         for layer in range(self.top, -1, -1):
             ids, dist = self.search_layer(q, start, layer, width if self.levels[new].max() >= layer else 1)
             members = np.flatnonzero(self.levels[new] >= layer)
+            back: dict[int, list[tuple[float, int]]] = {}
             inner = self.square[new][None] - 2 * q @ q.T
             np.fill_diagonal(inner, np.inf)
             for i in members.tolist():
@@ -139,23 +140,29 @@ class Graph:
                 peers = peers[np.isfinite(inner[i, peers])]
                 known = ids[i] >= 0
                 c = np.concatenate([ids[i][known], new[peers]])
-                d = np.concatenate([dist[i][known], inner[i, peers]])
+                d = np.concatenate([dist[i][known], inner[i, peers]]) + self.square[new[i]]
                 o = np.argsort(d, kind="stable")
-                picked = self.spread(q[i], c[o], d[o], self.links)
-                row = self.layers[layer][new[i]]
-                row[: len(picked)] = picked
-                apart = dict(zip(c.tolist(), (d + q[i] @ q[i]).tolist(), strict=True))
-                self.far[layer][new[i]][: len(picked)] = [apart[j] for j in picked.tolist()]
-                for j in picked.tolist():
-                    self.link_back(layer, j, int(new[i]), apart[j])
+                c, d = c[o], d[o]
+                at = self.spread(c, d, self.links)
+                picked, apart = c[at], d[at]
+                self.layers[layer][new[i]][: len(at)] = picked
+                self.far[layer][new[i]][: len(at)] = apart
+                for j, x in zip(picked.tolist(), apart.tolist(), strict=True):
+                    back.setdefault(j, []).append((x, int(new[i])))
+            for node, links in back.items():
+                self.link_back(layer, node, links)
             start = ids[:, :1]
 
-    def link_back(self, layer: int, node: int, to: int, d: float) -> None:
-        """Let `to` be a neighbour of `node`, in the place of its farthest one if it has no room."""
+    def link_back(self, layer: int, node: int, links: list[tuple[float, int]]) -> None:
+        """Let the points of links (distance, number) be neighbours of `node`; without room, those of all that `spread` chooses."""
         row, far = self.layers[layer][node], self.far[layer][node]
-        worst = int(far.argmax())  # infinite where there is room
-        if d < far[worst] and not (row == to).any():
-            row[worst], far[worst] = to, d
+        held = set(row[row >= 0].tolist())
+        every = sorted([*zip(far.tolist(), row.tolist(), strict=True)][: len(held)] + [x for x in links if x[1] not in held])
+        d, ids = np.array([x[0] for x in every], np.float32), np.array([x[1] for x in every], np.int32)
+        if len(ids) > len(row):
+            at = self.spread(ids, d, len(row))
+            d, ids = d[at], ids[at]
+        row[: len(ids)], far[: len(ids)] = ids, d
 
     def search(self, q: np.ndarray, width: int) -> np.ndarray:
         """The nearest `width` points found for each query, -1 where there are fewer."""
