@@ -13,7 +13,7 @@ from . import fixed_values as fixed
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for a row however often body uses it."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]  # a body of two parameters would be given the index too
 
 
 def quoted(x: str) -> str:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from prodlens.functions import fixed_values as fixed
 from prodlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +42,26 @@ def test_same_rows(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_rule_confidence_as_the_rules_sql(spark, duck):
+    """Counts, missing types and confidence worked out from the rows that the SQL of the single rules gives."""
+    found = {p: [] for (p,) in duck.execute("select p_partkey from part").fetchall()}
+    for rule in ("dimensions", "weights", "capacity", "power", "materials", "finishes", "standards", "environments", "care"):
+        for p, name, kind in duck.execute(f"select p_partkey, name, entity_type from ({catalog.ORACLE_SQL[f'rule_{rule}']})").fetchall():
+            found[p].append((name, kind))
+    expected = []
+    for p, entities in found.items():
+        types = {kind for _, kind in entities}
+        for pair in ({"standard", "certification"}, {"care", "warranty"}):
+            types |= pair if types & pair else set()
+        missing = set(fixed.ENTITY_TYPES) - types
+        places = {name.lower() for name, kind in entities if kind == "environment"}
+        conflicts = {"indoor", "outdoor"} <= places and "indoor/outdoor" not in places
+        score = min(0.5 + 0.05 * len(entities), 0.8) - 0.15 * len(missing & set(fixed.CRITICAL_TYPES)) - 0.1 * conflicts
+        expected.append((p, len(entities), ",".join(sorted(missing)), round(max(0.1, min(1.0, score)), 4) if entities else 0.1))
+    got = catalog.QUERIES["rule_confidence"](spark, SF).select("p_partkey", "n", "missing", "confidence").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["phrase", "tfidf_score", "doc_freq", "total_occurrences"]
 
