@@ -4,11 +4,11 @@ Documents are sets of distinct five-word shingles. Equal sets are one class from
 share a band of universal-hash minima meet in a bucket, and each bucket is compared in two rounds:
 
 1. every member with one pivot of the bucket, the class with most copies (signatures first, then full sets);
-2. where a bucket still holds several components, members of different components, by signatures block by block; the pairs
-   that agree are compared on full sets.
+2. where the buckets of one pivot together still hold several components, members of different components, block by block:
+   first by signatures, then, of members that agree with any such other, by full sets.
 
-Links are confirmed on full sets. Nothing but a bucket of several components is ever compared pair by pair, by signatures in
-blocks of bounded size, and a component's inner pairs never are; links of a class go through its representative.
+Links are confirmed on full sets. A block's pairs never leave it: it gives members or, of the links, those that join
+components. A component's inner pairs are not compared; links of a class go through its representative.
 With 32 bands of 4 rows, a pair of similarity 0.75 meets in no bucket with probability 5e-6.
 """
 
@@ -109,14 +109,14 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("c", "n", "copies", "sig").mapInArrow(run, "band long, c long, n long, copies long")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df, broadcast where it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (p, c) whose signatures agree in enough places."""
-    ids = _small(pairs.select(F.col("p").alias("x")).union(pairs.select("c")).distinct())
+    ids = small(pairs.select(F.col("p").alias("x")).union(pairs.select("c")).distinct())
     sig = classes.join(ids, classes.c == ids.x, "left_semi").select("c", "sig")
     both = pairs.join(sig, "c").withColumnRenamed("sig", "s1").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s2")), "p")
 
@@ -135,9 +135,9 @@ def linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.nd
 def star_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (p, c) that full sets confirm, as edges (a, b). A pivot's members are dealt to blocks of bounded size."""
     sizes = pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = pairs.join(_small(sizes), "p").select("p", F.pmod(F.xxhash64("c"), "blocks").alias("block"), "c")
+    placed = pairs.join(small(sizes), "p").select("p", F.pmod(F.xxhash64("c"), "blocks").alias("block"), "c")
     rows = placed.union(placed.select("p", "block", F.col("p").alias("c")).distinct())
-    texts = docs.join(_small(rows), docs.k == rows.c).select("p", "block", "c", "t")
+    texts = docs.join(small(rows), docs.k == rows.c).select("p", "block", "c", "t")
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.array(table["c"].to_pylist(), np.int64)
@@ -151,36 +151,85 @@ def star_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.groupBy("p", "block").applyInArrow(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (p, c, n) of members (band, c, comp, n) of one bucket but of different components whose signatures agree in enough places.
+def dealt(members: DataFrame) -> DataFrame:
+    """Rows (p, i, j, x, c, comp, n): the members (p, c, comp, n) of groups of several components, in pairs (i, j) of blocks of bounded size.
 
-    A bucket's members are dealt to blocks, and each pair of blocks is one group; n is the size of c's set.
+    Any two members of different components meet, in one block x or from both blocks of a pair. The members of a group's most
+    common component lie in blocks of their own, which are not paired with one another; a group that fits is one block.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    own = members.join(_small(sizes), "band").withColumn("x", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    rows = own.select("band", "c", "comp", "n", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    rows = rows.select("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "c", "comp", "n")
-    signed = classes.select("c", "sig").join(_small(rows), "c").select("band", "i", "j", "x", "c", "comp", "n", "sig")
+    counts = members.groupBy("p", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = counts.groupBy("p").agg(F.max(F.struct("m", "comp", "s")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    main_blocks = F.when(blocks(F.col("m"), F.col("s")) > 1, blocks(F.col("main.m"), F.col("main.s"))).otherwise(0)
+    sizes = sizes.select("p", F.col("main.comp").alias("main"), main_blocks.alias("mains"), blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("others"))
+    apart = (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
+    place = lambda n: F.pmod(F.xxhash64("c"), F.greatest(n, F.lit(1))).cast("int")
+    own = members.join(small(sizes), "p").withColumn("x", F.when(apart, F.col("others") + place(F.col("mains"))).otherwise(place(F.col("others"))))
+    rows = own.select("p", "c", "comp", "n", "x", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(apart, 0).otherwise(F.col("mains")))).alias("y"))
+    return rows.select("p", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "c", "comp", "n")
+
+
+def _strangers(table: pa.Table, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a pair of blocks, each row that is not of the most common component, and which rows it is to be compared with.
+
+    comp may change meanwhile; of two rows of different components one is not of the most common.
+    """
+    side = np.array(table["x"].to_pylist(), np.int64)
+    one_block = table["i"][0].as_py() == table["j"][0].as_py()
+    values, counts = np.unique(comp, return_counts=True)
+    for m in np.flatnonzero(comp != values[counts.argmax()]).tolist():
+        others = comp != comp[m]
+        yield m, others if one_block else others & (side != side[m])
+
+
+def agreeing_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (p, c, comp, n) whose signature agrees in enough places with one of another component of the group p."""
+    rows = dealt(members)
+    signed = classes.select("c", "sig").join(small(rows), "c").select("p", "i", "j", "x", "c", "comp", "n", "sig")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side, n = (np.array(table[c].to_pylist(), np.int64) for c in ("c", "comp", "x", "n"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-        one_block = table["i"][0].as_py() == table["j"][0].as_py()
-        values, counts = np.unique(comp, return_counts=True)
-        common, a, b = values[counts.argmax()], [], []
-        for m in np.flatnonzero(comp != common).tolist():  # of two different components one is not the most common
-            ok = (comp != comp[m]) & ((sig == sig[m]).mean(1) >= LEAST_AGREEMENT)
-            if not one_block:
-                ok &= side != side[m]
-            found = np.flatnonzero(ok).tolist()
-            a += [m] * len(found)
-            b += found
-        return pa.table({"p": pa.array(ids[a]), "c": pa.array(ids[b]), "n": pa.array(n[b])})
-
-    found = signed.groupBy("band", "i", "j").applyInArrow(run, "p long, c long, n long")
+        agrees = np.zeros(len(sig), bool)
+        for m, others in _strangers(table, np.array(table["comp"].to_pylist(), np.int64)):
+            found = others & ((sig == sig[m]).mean(1) >= LEAST_AGREEMENT)
+            agrees |= found
+            agrees[m] |= found.any()
+        return table.select(["p", "c", "comp", "n"]).filter(pa.array(agrees))
+
+    found = signed.groupBy("p", "i", "j").applyInArrow(run, "p long, c long, comp long, n long")
     return found.distinct()
 
 
+def joining_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between members (p, c, comp, n) of a group p, confirmed on full sets: of each pair of blocks those that join components."""
+    rows = dealt(members)
+    texts = docs.join(small(rows), docs.k == rows.c).select("p", "i", "j", "x", "c", "comp", "t")
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(table["t"]))
+        some = [i for i, s in enumerate(sets) if len(s)]
+        a, b = [], []
+        if some:
+            table, sets = table.take(some), [sets[i] for i in some]
+            ids, comp = (np.array(table[c].to_pylist(), np.int64) for c in ("c", "comp"))
+            n = np.array([len(s) for s in sets])
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(n)
+            for m, others in _strangers(table, comp):
+                if not others.any():
+                    continue
+                mark = np.zeros(len(values), np.int32)
+                mark[flat[ends[m] - n[m] : ends[m]]] = 1
+                found = np.flatnonzero(others & linked(np.add.reduceat(mark[flat], ends - n), n, n[m]))
+                joined, first = np.unique(comp[found], return_index=True)
+                a += [ids[m]] * len(first)
+                b += ids[found[first]].tolist()
+                comp[np.isin(comp, joined)] = comp[m]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return texts.groupBy("p", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable through links, itself included), kept (id = component_id).
 
@@ -206,13 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links, scratch)
 
     comp = F.coalesce("v", "c").alias("comp")
-    placed = scratch.keep(met.join(joined, met.c == joined.u, "left").select("band", "c", "n", comp))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    mixed = scratch.keep(mixed)
-    members = scratch.keep(placed.join(mixed, "band", "left_semi"))
-    agreed = scratch.keep(block_pairs(members, classes))
-    scratch.free(met, placed, mixed, members)
-    more = scratch.keep(star_links(agreed, texts))
+    mates = met.groupBy("p", "c").agg(F.max("n").alias("n"))
+    members = scratch.keep(mates.join(joined, mates.c == joined.u, "left").select("p", "c", comp, "n"))
+    agreed = scratch.keep(agreeing_members(members, classes))
+    scratch.free(met, members)
+    more = scratch.keep(joining_links(agreed, texts))
     final = components(links.union(more), scratch)
     scratch.free(joined, agreed, links, more)
 

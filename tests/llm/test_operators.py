@@ -102,6 +102,34 @@ def test_chained_links_reach_the_smallest_id(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(texts)
 
 
+def test_many_unlinked_near_copies_make_no_table_of_pairs(spark, monkeypatch):
+    """Copies with edits of their own, of which few are linked: what is written grows with their number, not its square."""
+    base = prose(4, 150)
+    texts = [base, *(mutated(base, i, 2 + i % 4) for i in range(400))]
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append(keep(self, df).count()) or df.sparkSession.read.schema(df.schema).parquet(f"{self.base}/{self.count}"))
+    monkeypatch.setattr(Scratch, "free", lambda self, *frames: None)
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 64)
+    got = rows(near_dup.near_duplicates(documents(spark, texts)), "doc_id")
+    expected = brute_components(texts)
+    assert len(set(expected)) > 50
+    assert [got[i].component_id for i in range(len(texts))] == expected
+    assert max(written) <= near_dup.BANDS * len(texts)
+
+
+def test_members_of_different_components_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 8)
+    members = [(1, c, 1 if c < 60 else c // 2, 10) for c in range(90)] + [(2, c, 5, 10) for c in range(30)] + [(3, c, c, 10) for c in range(5)]
+    blocks = {}
+    for r in near_dup.dealt(spark.createDataFrame(members, "p long, c long, comp long, n long")).collect():
+        blocks.setdefault((r.p, r.i, r.j), []).append(r)
+    met = Counter()
+    for (p, i, j), own in blocks.items():
+        for a in own:
+            met.update((p, a.c, b.c) for b in own if a.c < b.c and a.comp != b.comp and (i == j or a.x != b.x))
+    assert met == Counter({(p, a, b): 1 for p, a, x, _ in members for q, b, y, _ in members if p == q and a < b and x != y})
+
+
 def benchmark(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
