@@ -19,6 +19,11 @@ def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return Scratch(spark, "rows").keep(docs.withColumn("row_key", F.monotonically_increasing_id()))
 
 
+def _without(spark: SparkSession, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows but those of keys (row_key). Texts stay where they are unless many rows go."""
+    return rows.join(near_dup.small(Scratch(spark, "keys").keep(keys)), "row_key", "left_anti")
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter, and those far from every language's codeword, go.
 
@@ -36,15 +41,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = _keyed(spark, docs)
     groups = near_dup.near_duplicates(rows, "row_key").select("row_key", "component_id").join(rows.select("row_key", "doc_id"), "row_key")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("m"))
-    return rows.join(first.select(F.col("m.row_key").alias("row_key")), "row_key", "left_semi").select(docs.columns)
+    others = groups.select("row_key").join(first.select(F.col("m.row_key").alias("row_key")), "row_key", "left_anti")
+    return _without(spark, rows, others).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(spark, docs)
-    clean = contamination.contamination(rows, benchmark, id_col="row_key").filter("not contaminated").select("row_key")
-    return rows.join(clean, "row_key", "left_semi").select(docs.columns)
+    found = contamination.contamination(rows, benchmark, id_col="row_key").filter("contaminated").select("row_key")
+    return _without(spark, rows, found).select(docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from prodlens.llm import near_dup
 
 from .test_operators import language_texts
 
@@ -44,3 +45,23 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, tmp_path):
     pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
     assert pairs(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
     assert pairs(corpus_pipeline.one_of_each_group(spark, docs.filter(~F.coalesce(F.col("text").contains(item), F.lit(False))), "")) == sorted([(3, one), (3, other), (None, third), (5, None)], key=str)
+
+
+def test_texts_do_not_move_where_few_rows_go(spark, tmp_path, monkeypatch):
+    """Whatever Spark itself would broadcast; beyond the bound the same rows come by shuffle."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [*language_texts()[:20], *language_texts()[:3], f"see {item}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline.Scratch, "free", lambda self, *frames: None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (near_dup.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(near_dup, "BROADCAST_ROWS", most)
+            for stage, gone in ((corpus_pipeline.one_of_each_group, {20, 21, 22}), (corpus_pipeline.without_benchmark, {23})):
+                out = stage(spark, docs, str(tmp_path))
+                assert {r.doc_id for r in out.collect()} == set(range(len(texts))) - gone
+                assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 0), stage
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
