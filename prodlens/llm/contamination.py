@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, sliced
-from .words import ALNUM, buffers, pieces, words
+from .words import ALNUM, buffers, pieces, word_hashes, words
 
 #: Bytes of benchmark text in a block of queries, about (a longer item stands alone).
 BLOCK_BYTES = 16 << 20
@@ -86,7 +86,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
             data, at = buffers(b.column(1))
             for lo, hi in pieces(data, at, SEGMENT_BYTES):
                 part = at[lo : hi + 1]
-                hashed, doc, _, _ = words(data[part[0] : part[-1]], part - part[0], ALNUM)
+                hashed, doc = word_hashes(data[part[0] : part[-1]], part - part[0], ALNUM)
                 n_words = np.bincount(doc, minlength=hi - lo)
                 starts = np.concatenate([[0], np.cumsum(n_words + 1)[:-1]])
                 position = np.arange(len(hashed)) + doc

@@ -106,7 +106,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             xw = x.T * weight[lo : lo + len(part)]
             gram += xw @ x
             right += xw @ code[own[lo : lo + len(part)]]
-        weights = np.linalg.solve(gram + 2.0 * np.eye(len(gram)), right).astype(np.float32)
+        gram[np.diag_indices_from(gram)] += 2.0
+        weights = np.linalg.solve(gram, right).astype(np.float32)
         return pa.table({"names": pa.array([names], pa.list_(pa.string())), "weights": pa.array([weights.tobytes()], pa.binary())})
 
     got = chosen.mapInArrow(features, "one int, l string, k string, at binary, x binary").groupBy("one").applyInArrow(learn, "names array<string>, weights binary").first()

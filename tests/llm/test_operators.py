@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prodlens.llm import contamination, hnsw, hpylm, language_id, mixing, near_dup, ngrams, pseudonyms, quality, token_count, warc
+from prodlens.llm import contamination, hnsw, hpylm, language_id, mixing, near_dup, ngrams, pseudonyms, quality, token_count, warc, words
 from prodlens.llm.scratch import Scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -599,6 +600,18 @@ def test_null_and_repeated_ids(spark):
     assert [(r.component_id, r.kept) for r in near if r.doc_id is None] == [(None, True)]
 
 
+def test_words_take_little_memory_and_do_not_depend_on_pieces():
+    texts = pa.array([prose(i, 400) for i in range(900)] + [None, "", "x"])
+    data, at = words.buffers(texts)
+    whole = words.words(data, at, words.ALNUM)
+    tracemalloc.start()
+    hashed, doc = words.word_hashes(data, at, words.ALNUM)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (hashed == whole[0]).all() and (doc == whole[1]).all()
+    assert len(data) > 3 << 19 and most < 12 * len(data)  # words() takes 19 times its input
+
+
 def test_ngram_counts_do_not_depend_on_neighbours():
     a, b = "der weg ist schön", "x"
     alone = ngrams.counts(pa.array([a]))
