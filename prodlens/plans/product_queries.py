@@ -9,16 +9,22 @@ from ..functions import text as T
 from ..html import extract as H
 from ..operators import describe, hybrid, scrape, search
 from ..operators import entities as E
+from ..operators.layout import spread
 from ..sources import connectors, sinks
 from ..streaming import dedupe
 from . import sql_text as S
 from .phrase_queries import table
 
 
+def _parts(s, d):
+    """Parts over all cores: a row of the queries below costs much work, and the table's file may be a single row group."""
+    return spread(table(s, d, "part"))
+
+
 def _spec(s, d):
     """Specification texts built from parts."""
     text = F.lower(F.concat_ws(" ", "p_name", F.concat("p_size", F.lit("cm wide, height: "), "p_size", F.lit(' mm and 48 inch,')), F.concat("p_size", F.lit("kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,")), F.lit("as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors"), F.when(F.col("p_size") % 3 == 0, "cool iron only, cotton fabric").otherwise("iron frame"), F.when(F.col("p_size") % 4 == 0, "brushed, matte and plated").when(F.col("p_size") % 4 == 1, "powder-coated")))
-    return table(s, d, "part").select("p_partkey", text.alias("t"))
+    return _parts(s, d).select("p_partkey", text.alias("t"))
 
 
 SPEC = """(select p_partkey, lower(concat_ws(' ', p_name, p_size || 'cm wide, height: ' || p_size || ' mm and 48 inch,', p_size || 'kg weighs 3 lbs, 20 litre or 5 ml, 800w 240 volts 10 amps 5 kw,', 'as/nzs 4386 ip65 iso 9001-2 ul 94, 5 year warranty, hand wash, lifetime guarantee, patio and indoors', case when p_size % 3 = 0 then 'cool iron only, cotton fabric' else 'iron frame' end, case when p_size % 4 = 0 then 'brushed, matte and plated' when p_size % 4 = 1 then 'powder-coated' end)) as t from part)"""
@@ -79,12 +85,12 @@ CATEGORY_TEXT = "lower(p_name) || ' phone oven table lamp ' || lower(p_type) ||
 
 def _categories(s, d):
     t = F.concat(F.lower("p_name"), F.lit(" phone oven table lamp "), F.lower("p_type"), F.when(F.col("p_size") % 4 == 0, " coffee cup").when(F.col("p_size") % 4 == 1, " desk and chair").otherwise(""))
-    return table(s, d, "part").select("p_partkey", t.alias("t"))
+    return _parts(s, d).select("p_partkey", t.alias("t"))
 
 
 def _entities(s, d):
     """Two origins of synthetic entities: rules from parts of even size, the other from shifted ones."""
-    part = table(s, d, "part")
+    part = _parts(s, d)
     word = lambda i: F.split("p_name", " ")[i]
     rows = [
         ("rules", 0, word(0), "material", F.lit(True)),
@@ -153,7 +159,7 @@ def _records(s, d):
     """Scrape records from parts."""
     f = lambda h, t: F.struct(h.cast("string").alias("heading"), t.cast("string").alias("description"))
     features = F.array(f(F.lit("Size "), F.concat("p_size", F.lit(" cm."))), f(F.col("p_type"), F.lit("")), f(F.lit(None), F.lit("  Well  made")))
-    return table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.format_string("$%.2f", "p_retailprice")).alias("price"), F.when(F.col("p_size") % 5 != 0, features).alias("features"), F.when(F.col("p_size") % 3 == 0, F.lit("Access denied.")).when(F.col("p_size") % 7 == 0, F.lit(" Ships soon ")).alias("additional"))
+    return _parts(s, d).select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.format_string("$%.2f", "p_retailprice")).alias("price"), F.when(F.col("p_size") % 5 != 0, features).alias("features"), F.when(F.col("p_size") % 3 == 0, F.lit("Access denied.")).when(F.col("p_size") % 7 == 0, F.lit(" Ships soon ")).alias("additional"))
 
 
 DESC = """(select p_partkey, p_name as name, case when p_size % 2 = 0 then printf('$%.2f', p_retailprice) end as price, p_size, case when p_size % 3 = 0 then 'Access denied.' when p_size % 7 = 0 then 'Ships soon' end as add_, case when p_size % 5 <> 0 then ['Size: ' || p_size || ' cm.', p_type, 'Well  made'] end as fs from part)"""
@@ -180,7 +186,7 @@ def _synthetic_pages(s, d, kind=None):
     html = html.when(turn == 1, page(f'</head><body>{h1}<script>var product = {{"description": "', '"};</script></body></html>'))
     html = html.when(turn == 2, page(f'</head><body>{h1}<div class="product-details"><p>', "</p></div></body></html>"))
     html = html.otherwise(page('<meta name="description" content="', f'"></head><body>{h1}</body></html>'))
-    return table(s, d, "documents").select("doc_id", html.alias("html"))
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", html.alias("html"))
 
 
 def _clipped(x: str, most: int) -> str:
@@ -209,7 +215,7 @@ def _products(s, d):
     k = F.col("p_size") % 3
     pick = lambda *xs: F.when(k == 0, xs[0]).when(k == 1, xs[1]).otherwise(xs[2])
     none = F.lit(None).cast("string")
-    return table(s, d, "part").select(
+    return _parts(s, d).select(
         F.col("p_partkey").alias("product_id"), pick("Acme Oak Desk", "Acme Cotton Shirt", "Widget").alias("product_name"), pick(T.literals(["matte", " "]), T.literals(["blue", "hand wash", "sale"]), T.literals(["blue"])).alias("terms"),
         pick(F.lit("120cm wide, 5kg"), F.lit("for indoors"), none).alias("description"), pick(F.lit("office desk and chair"), none, none).alias("search_query"), pick(F.lit(None), F.lit(False), F.lit(True)).cast("boolean").alias("force"), pick(none, F.lit(ANSWER), F.lit("no json")).alias("response"), pick(none, F.lit(GROUPS), F.lit("[1]")).alias("groups"),
     )
@@ -225,7 +231,7 @@ def _by_turns(*rows: str) -> str:
 
 
 def _extraction_results(s, d):
-    part = table(s, d, "part")
+    part = _parts(s, d)
     f = F.struct(F.lit("Size").alias("heading"), F.col("p_size").cast("string").alias("description"))
     return part.select(F.col("p_partkey").cast("string").alias("url"), F.when(F.col("p_size") % 5 == 0, "timeout").when(F.col("p_size") % 5 == 1, "").alias("error"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("product_name"), F.col("p_type").alias("title"), F.col("p_retailprice").cast("string").alias("price"), F.when(F.col("p_size") % 3 == 0, F.array(f)).alias("features"), F.lit(None).cast("string").alias("additional_information"), F.concat(F.lit("A short. This one is long enough. "), F.col("p_name")).alias("product_description"))
 
@@ -261,9 +267,9 @@ DEFINED = {
         lambda s, d: _entities(s, d).groupBy("product_id").agg(F.array_join(F.array_sort(F.array_except(T.literals(fixed.ENTITY_TYPES), F.collect_set("entity_type"))), ",").alias("missing")),
         f"with {ENTITIES}, t as (select product_id, list(distinct entity_type) as ts from e0 group by 1) select product_id, array_to_string(list_sort(list_filter({S.lst(fixed.ENTITY_TYPES)}, lambda x: not list_contains(ts, x))), ',') as missing from t",
     ),
-    "brand_removal": (lambda s, d: table(s, d, "part").select("p_partkey", E.without_brands(F.concat("p_brand", F.lit(" - "), F.col("p_name"), F.lit(" pty ltd ,")), BRANDS).alias("name")), "select p_partkey, p_name as name from part"),
-    "entity_path_clean": (lambda s, d: table(s, d, "part").select("p_partkey", E.clean_path(F.concat(F.lit("Hardware › Acme > "), F.col("p_type"), F.lit(" » acme Tap")), ["Acme"]).alias("path")), "select p_partkey, 'Hardware > ' || p_type || ' > Tap' as path from part"),
-    "final_path": (lambda s, d: table(s, d, "part").select("p_partkey", E.final_path(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("Product > Unknown"), F.when(F.col("p_size") % 3 == 0, F.lit("Tools"))).alias("path")), "select p_partkey, case when p_size % 2 = 0 then p_type when p_size % 3 = 0 then 'Tools' else 'Product > Unknown' end as path from part"),
+    "brand_removal": (lambda s, d: _parts(s, d).select("p_partkey", E.without_brands(F.concat("p_brand", F.lit(" - "), F.col("p_name"), F.lit(" pty ltd ,")), BRANDS).alias("name")), "select p_partkey, p_name as name from part"),
+    "entity_path_clean": (lambda s, d: _parts(s, d).select("p_partkey", E.clean_path(F.concat(F.lit("Hardware › Acme > "), F.col("p_type"), F.lit(" » acme Tap")), ["Acme"]).alias("path")), "select p_partkey, 'Hardware > ' || p_type || ' > Tap' as path from part"),
+    "final_path": (lambda s, d: _parts(s, d).select("p_partkey", E.final_path(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("Product > Unknown"), F.when(F.col("p_size") % 3 == 0, F.lit("Tools"))).alias("path")), "select p_partkey, case when p_size % 2 = 0 then p_type when p_size % 3 = 0 then 'Tools' else 'Product > Unknown' end as path from part"),
     "search_hits_topk": (lambda s, d: search.top_hits(_hits(s, d), 4), f"with {HITS}, c as (select * from hits where pos < 4) select query_key, title, min(pos)::int as pos, arg_max(source, (pos, source, price)) as source, arg_max(price, (pos, source, price)) as price, arg_max_null(link, (pos, source, price)) as link from c group by 1, 2"),
     "query_dedupe": (
         lambda s, d: search.distinct_queries(table(s, d, "part").select(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  x ")).alias("query"), F.col("p_partkey").alias("pos"))),
@@ -277,7 +283,7 @@ DEFINED = {
         rf"with t as (select page_id, lower(regexp_replace(html, '(?s)<title.*?</title>|<h1.*?</h1>', ' ', 'g')) as x, list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '[^\x00-\x7F\P{{L}}]', '_', 'g'), '\b([a-z]{{3,}})\b', 1)), lambda w: not list_contains({S.lst(fixed.RELEVANCE_STOP_WORDS)}, w)) as w from pages) select page_id, case when x = '' or len(w) = 0 then true else len(list_filter(w, lambda y: contains(x, y))) / len(w) >= 0.3 end as relevant from t",
     ),
     "heading_score": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.round(T.heading_score(F.concat(F.element_at(T.literals(["Key Features of ", "About ", "Main product details ", "Technical ", "Zzz "]), F.col("p_size") % 5 + 1), F.col("p_name"))), 4).alias("score")),
+        lambda s, d: _parts(s, d).select("p_partkey", F.round(T.heading_score(F.concat(F.element_at(T.literals(["Key Features of ", "About ", "Main product details ", "Technical ", "Zzz "]), F.col("p_size") % 5 + 1), F.col("p_name"))), 4).alias("score")),
         f"select p_partkey, round({HEADING}, 4)::double as score from (select p_partkey, lower((['Key Features of ', 'About ', 'Main product details ', 'Technical ', 'Zzz '])[p_size % 5 + 1] || p_name) as x from part)",
     ),
     "jaccard": (lambda s, d: table(s, d, "documents").select("doc_id", F.round(T.word_overlap(F.lower("text"), F.lower(F.regexp_replace("text", r"[aeiou]\S*", ""))), 6).alias("j")), f"select doc_id, round({OVERLAP('a', 'b')}, 6)::double as j from (select doc_id, lower(text) as a, lower(regexp_replace(text, '[aeiou]\\S*', '', 'g')) as b from documents)"),
@@ -312,7 +318,7 @@ DEFINED = {
         "select p_partkey, concat_ws('; ', case when p_size % 5 <> 0 then 'Size : ' || p_size || ' cm.' end, case when p_size % 5 <> 0 then '  Well  made' end, case when p_size % 3 = 0 then 'Access denied.' when p_size % 7 = 0 then ' Ships soon ' end, p_name) as text from part",
     ),
     "description_answer": (
-        lambda s, d: table(s, d, "part").select("p_partkey", describe.answered(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('```json\n{"description": "A fine '), F.col("p_name"), F.lit('", "key_features": ["a", "b"]}\n```'))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" Just "), F.col("p_name"), F.lit(" ")))).alias("a")).select("p_partkey", "a.description", F.array_join("a.key_features", ",").alias("features"), "a.word_count", "a.success"),
+        lambda s, d: _parts(s, d).select("p_partkey", describe.answered(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('```json\n{"description": "A fine '), F.col("p_name"), F.lit('", "key_features": ["a", "b"]}\n```'))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" Just "), F.col("p_name"), F.lit(" ")))).alias("a")).select("p_partkey", "a.description", F.array_join("a.key_features", ",").alias("features"), "a.word_count", "a.success"),
         "with a as (select p_partkey, p_size % 3 as k, case p_size % 3 when 0 then 'A fine ' || p_name when 1 then 'Just ' || p_name else '' end as description from part) select p_partkey, description, case when k = 0 then 'a,b' else '' end as features, len(list_filter(string_split(description, ' '), lambda w: w <> ''))::int as word_count, k < 2 as success from a",
     ),
     "hybrid_entities": (
@@ -349,7 +355,7 @@ DEFINED = {
         _by_turns("'Core Attributes:matte' as grouped, '' as noise", "'Care Instructions:hand wash;Core Attributes:blue', 'sale'", "'Core Attributes:blue', ''"),
     ),
     "llm_gate": (
-        lambda s, d: table(s, d, "part").select("p_partkey", hybrid.gate(F.when(F.col("p_size") % 4 == 0, T.literals(["care", "dimension", "material"])).otherwise(T.literals(["care"])), F.col("p_size") / 100, 0.3).alias("g")).select("p_partkey", "g.invoke", "g.reason"),
+        lambda s, d: _parts(s, d).select("p_partkey", hybrid.gate(F.when(F.col("p_size") % 4 == 0, T.literals(["care", "dimension", "material"])).otherwise(T.literals(["care"])), F.col("p_size") / 100, 0.3).alias("g")).select("p_partkey", "g.invoke", "g.reason"),
         "select p_partkey, p_size % 4 = 0 or p_size < 30 as invoke, case when p_size % 4 = 0 then 'Missing critical types: [''material'', ''dimension'']' when p_size < 30 then 'Low rules confidence: ' || printf('%.2f', p_size / 100) || ' < 0.3' else 'Rules extraction sufficient' end as reason from part",
     ),
     "llm_prompt": (
@@ -357,13 +363,13 @@ DEFINED = {
         _by_turns("false as has_terms", "true", "true"),
     ),
     "request_terms": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(hybrid.request_terms(F.concat(F.lit('[{"term": "'), F.col("p_name"), F.lit('", "score": 1.5, "docFreq": '), F.col("p_size"), F.lit('}, {"phrase": "x", "term": "y", "importanceScore": "7"}]')))).alias("t")).select("p_partkey", "t.*"),
+        lambda s, d: _parts(s, d).select("p_partkey", F.explode(hybrid.request_terms(F.concat(F.lit('[{"term": "'), F.col("p_name"), F.lit('", "score": 1.5, "docFreq": '), F.col("p_size"), F.lit('}, {"phrase": "x", "term": "y", "importanceScore": "7"}]')))).alias("t")).select("p_partkey", "t.*"),
         "select p_partkey, p_name as phrase, 1.5::double as tfidf_score, p_size::bigint as doc_freq, 0.0::double as importance_score, 'tfidf' as source from part union all select p_partkey, 'x', 0.0, 1, 7.0, 'tfidf' from part",
     ),
     "products_required": (lambda s, d: hybrid.required(_products(s, d).withColumn("product_name", F.when(F.col("product_id") % 3 == 0, "").otherwise(F.col("product_name"))).withColumn("terms", F.when(F.col("product_id") % 5 != 0, F.col("terms")))).select("product_id"), "select p_partkey as product_id from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0"),
-    "brand_only": (lambda s, d: table(s, d, "part").select("p_partkey", E.is_brand_only(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" kettle"))), BRANDS).alias("only"), E.has_brand(F.concat(F.lit("a "), F.lower("p_brand")), BRANDS).alias("has")), "select p_partkey, p_size % 2 = 0 as only, true as has from part"),
+    "brand_only": (lambda s, d: _parts(s, d).select("p_partkey", E.is_brand_only(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" kettle"))), BRANDS).alias("only"), E.has_brand(F.concat(F.lit("a "), F.lower("p_brand")), BRANDS).alias("has")), "select p_partkey, p_size % 2 = 0 as only, true as has from part"),
     "standard_descriptions": (
-        lambda s, d: E.described(table(s, d, "part").select("p_partkey", F.concat(F.lit("iso "), F.col("p_size") % 4).alias("name")), s.createDataFrame([(1, "ISO 1", "second"), (0, "iso 1", "first"), (2, "Iso 2", "two")], "region_pos int, name string, description string")),
+        lambda s, d: E.described(_parts(s, d).select("p_partkey", F.concat(F.lit("iso "), F.col("p_size") % 4).alias("name")), s.createDataFrame([(1, "ISO 1", "second"), (0, "iso 1", "first"), (2, "Iso 2", "two")], "region_pos int, name string, description string")),
         "select p_partkey, 'iso ' || (p_size % 4) as name, case p_size % 4 when 1 then 'first' when 2 then 'two' end as description from part",
     ),
     "entities_by_type": (lambda s, d: E.by_type(_entities(s, d)).select("product_id", "entity_type", F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("names")), f"with {ENTITIES} select product_id, entity_type, string_agg(name, ',' order by pos, origin, name) as names from e0 group by 1, 2"),
@@ -379,7 +385,7 @@ DEFINED = {
         "select page_id, case when page_id % 7 = 0 then null when page_id % 3 = 0 then 'firecrawl' when page_id % 3 = 1 then 'firecrawl_api_error' else 'firecrawl_error' end as method from pages",
     ),
     "scrape_unwrap": (
-        lambda s, d: table(s, d, "part").select("p_partkey", connectors.scraped(F.concat(F.when(F.col("p_size") % 2 == 0, F.lit('{"success": true, "data": {')).otherwise(F.lit("{")), F.when(F.col("p_size") % 3 == 0, F.lit('"json"')).otherwise(F.lit('"extract"')), F.lit(': {"product_name": "'), F.col("p_name"), F.lit('"}}'), F.when(F.col("p_size") % 2 == 0, F.lit("}")).otherwise(""))).getField("product_name").alias("name")),
+        lambda s, d: _parts(s, d).select("p_partkey", connectors.scraped(F.concat(F.when(F.col("p_size") % 2 == 0, F.lit('{"success": true, "data": {')).otherwise(F.lit("{")), F.when(F.col("p_size") % 3 == 0, F.lit('"json"')).otherwise(F.lit('"extract"')), F.lit(': {"product_name": "'), F.col("p_name"), F.lit('"}}'), F.when(F.col("p_size") % 2 == 0, F.lit("}")).otherwise(""))).getField("product_name").alias("name")),
         "select p_partkey, p_name as name from part",
     ),
     "record_normalised": (lambda s, d: scrape.normalised(table(s, d, "pages").select("url", F.lit("m").alias("extraction_method"), F.lit(1).alias("extra")), True).select("url", "product_name", "extraction_method", "confidence_score"), "select url, null::varchar as product_name, 'm' as extraction_method, null::double as confidence_score from pages"),
@@ -396,7 +402,7 @@ DEFINED = {
         "with recursive s as (select user_id, min(ts) as ts from events group by 1 union all select e.user_id, min(e.ts) from s join events e on e.user_id = s.user_id and e.ts >= s.ts + interval 300 seconds group by e.user_id) select min(event_id) as event_id, e.user_id from s join events e on e.user_id = s.user_id and e.ts = s.ts group by e.user_id, e.ts",
     ),
     "report_text": (
-        lambda s, d: table(s, d, "part").select("p_partkey", sinks.report(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.format_string("$%.2f", "p_retailprice")), F.concat("p_type", F.lit("  goods ")), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>"))).alias("report")),
+        lambda s, d: _parts(s, d).select("p_partkey", sinks.report(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.format_string("$%.2f", "p_retailprice")), F.concat("p_type", F.lit("  goods ")), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>"))).alias("report")),
         "select p_partkey, concat_ws(chr(10), repeat('=', 60), 'PRODUCT DESCRIPTION', repeat('=', 60), 'Product: ' || p_name, case when p_size % 2 = 0 then printf('Price: $%.2f', p_retailprice) end, 'Words: ' || (len(string_split(p_type, ' ')) + 1), chr(10) || p_type || '  goods ', case when p_size % 3 = 0 then chr(10) || 'Keywords: ' || p_brand || ', ' || p_type end, repeat('=', 60)) as report from part",
     ),
 }
