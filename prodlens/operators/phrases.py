@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
+from . import grams
 from .layout import spread
 
-#: A vocabulary of at most so many phrases is broadcast; a larger one is joined by shuffle.
-BROADCAST_PHRASES = 100_000
-
 
 def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """Cleaned documents, those without text left out."""
@@ -32,7 +30,7 @@ def _terms(docs: DataFrame, stop_words: list[str], most: int = 3) -> DataFrame:
 
 def _marks(terms: Column) -> Column:
     """(p, first): each occurrence of a term, and 1 at one occurrence of each, so that one row does for both frequencies."""
-    return T.let(F.array_sort(terms), lambda t: F.transform(t, lambda p, i: F.struct(p.alias("p"), F.when((i > 0) & (F.get(t, i - 1) == p), 0).otherwise(1).alias("first"))))
+    return T.let(F.sort_array(terms), lambda t: F.transform(t, lambda p, i: F.struct(p.alias("p"), F.when((i > 0) & (F.get(t, i - 1) == p), 0).otherwise(1).alias("first"))))
 
 
 def counted(terms: DataFrame) -> DataFrame:
@@ -41,10 +39,35 @@ def counted(terms: DataFrame) -> DataFrame:
     return marks.groupBy(F.col("m.p").alias("phrase")).agg(F.sum("m.first").alias("df"), F.count("*").alias("total"))
 
 
-def vocabulary(terms: DataFrame, min_df: int, max_df: float, cap: int) -> tuple[DataFrame, int]:
-    """(phrase, df, total) of the `cap` most frequent phrases with df from min_df to max_df of all documents, and the number of documents."""
-    n = terms.count()
-    kept = counted(terms).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+def _words(docs: DataFrame, stop_words: list[str]) -> DataFrame:
+    """One column: the words that terms are made of, between spaces."""
+    return grams.tokenised(docs.select(T.without_foreign_letters(F.lower("text"))), stop_words)
+
+
+def _plain_words(docs: DataFrame) -> DataFrame:
+    """One column: the lower-cased text with single spaces, squeezed only where that changes anything."""
+    low = F.lower("text")
+    return docs.select(F.when(low.rlike(r"(?U)[\s&&[^ ]]"), T.squeezed(low)).otherwise(low).alias("words"))
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """A short list computed once, however many later steps read it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def vocabulary(docs: DataFrame, min_df: int = 2, max_df: float = 0.85, cap: int = 5000, stop_words: list[str] = fixed.STOP_WORDS) -> tuple[DataFrame, int]:
+    """(phrase, df, total) of the `cap` most frequent 1-3-grams with df from min_df to max_df of all documents, and the number of documents."""
+    with grams.held(_words(docs, stop_words)) as words:
+        return _vocabulary(words, docs, min_df, max_df, cap, stop_words)
+
+
+def _vocabulary(words: DataFrame, docs: DataFrame, min_df: int, max_df: float, cap: int, stop_words: list[str]) -> tuple[DataFrame, int]:
+    n = words.count()
+    found = grams.most_frequent(words, cap, "total", min_df, lambda p, df: min_df <= df <= max_df * n)
+    if found is None:
+        kept = counted(_terms(docs, stop_words)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    else:
+        kept = docs.sparkSession.createDataFrame([(" ".join(p), df, total) for p, df, total in found], "phrase string, df bigint, total bigint")
     return kept.orderBy(F.desc("total"), "phrase").limit(cap), n
 
 
@@ -54,20 +77,17 @@ def tfidf(docs: DataFrame, top_n: int | None = 200, min_df: int = 2, max_df: flo
     Smoothed idf, raw counts, rows of length 1. Occurrences count the phrase as a substring of the texts. Where no phrase qualifies
     (tiny corpora) the result is empty and `frequent_phrases` applies, as in `phrases_of`.
     """
-    terms = _terms(docs, stop_words)
-    voc, n = vocabulary(terms, min_df, max_df, cap)
-    voc = voc.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)
-    voc = F.broadcast(voc) if cap <= BROADCAST_PHRASES else voc
-    # dealt by document once, which serves both the counts and the norms
-    hits = terms.select("doc_id", F.explode("terms").alias("phrase")).join(voc.drop("total"), "phrase").repartition("doc_id")
-    tf = hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.first("idf").alias("idf"), F.first("df").alias("df"))
-    weight = F.col("n") * F.col("idf")
-    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("doc_id")))
-    scored = tf.select("phrase", "df", (weight / norm).alias("w")).groupBy("phrase").agg(F.first("df").alias("doc_freq"), F.round(F.sum("w"), 4).alias("tfidf_score"))
+    if occurrences and not docs.is_cached:
+        with grams.held(docs) as texts:
+            return tfidf(texts, top_n, min_df, max_df, cap, stop_words)
+    spark = docs.sparkSession
+    with grams.held(_words(docs, stop_words)) as words:
+        kept, n = _vocabulary(words, docs, min_df, max_df, cap, stop_words)
+        voc = kept.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1).collect()
+        sums = {r["i"]: r["w"] for r in grams.summed_weights(words, [tuple(r["phrase"].split(" ")) for r in voc], [r["idf"] for r in voc]).collect()} if voc else {}
+    scored = spark.createDataFrame([(r["phrase"], r["df"], sums[i]) for i, r in enumerate(voc) if i in sums], "phrase string, doc_freq bigint, w double").select("phrase", "doc_freq", F.round("w", 4).alias("tfidf_score"))
     best = scored.filter(~_is_generic(F.col("phrase"))).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase")
-    if top_n is not None:
-        # The list is short by definition; as a local table it is computed once, though both joins below read it.
-        best = docs.sparkSession.createDataFrame(best.limit(top_n).collect(), best.schema)
+    best = _local(best if top_n is None else best.limit(top_n))
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase")))
     if not occurrences:
         return best.select("phrase", "tfidf_score", "doc_freq", "rank")
@@ -77,44 +97,45 @@ def tfidf(docs: DataFrame, top_n: int | None = 200, min_df: int = 2, max_df: flo
 def phrases_of(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
     """phrase, tfidf_score, doc_freq, total_occurrences: by TF-IDF, and by frequency where no phrase qualifies for that, as in corpora of one or two texts."""
     columns = ["phrase", "tfidf_score", "doc_freq", "total_occurrences"]
-    out = tfidf(docs, top_n, min_df).select(*columns)
-    return frequent_phrases(docs, top_n, min_df).select(*columns) if out.isEmpty() else out
+    with grams.held(docs) as texts:
+        out = tfidf(texts, top_n, min_df).select(*columns)
+        return _local(frequent_phrases(texts, top_n, min_df)).select(*columns) if out.isEmpty() else out
 
 
 def with_occurrences(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """phrases with total_occurrences: non-overlapping substring counts over all texts. The phrases (a top list) go to every document as one array."""
-    wanted = phrases.agg(F.array_sort(F.collect_list("phrase")).alias("all_phrases"))
-    count = lambda low, p: ((F.length(low) - F.length(F.replace(low, p, F.lit("")))) / F.length(p)).cast("long")
-    counts = T.let(F.lower("text"), lambda low: F.transform("all_phrases", lambda p: F.struct(p.alias("phrase"), count(low, p).alias("n"))))
-    hits = docs.join(F.broadcast(wanted)).select(F.explode(F.filter(counts, lambda s: s["n"] > 0)).alias("h"))
-    total = hits.groupBy(F.col("h.phrase").alias("phrase")).agg(F.sum("h.n").alias("total_occurrences"))
-    return phrases.join(total, "phrase", "left").withColumn("total_occurrences", F.coalesce("total_occurrences", F.lit(0)))
+    """phrases with total_occurrences: non-overlapping substring counts over all texts. The phrases (a top list) go to every document."""
+    names = sorted({r["phrase"] for r in phrases.select("phrase").collect()})
+    counts = grams.substring_counts(docs.select(F.lower("text").alias("text")), names).collect()
+    total = docs.sparkSession.createDataFrame([(names[r["i"]], r["n"]) for r in counts], "phrase string, total_occurrences bigint")
+    return phrases.join(F.broadcast(total), "phrase", "left").withColumn("total_occurrences", F.coalesce("total_occurrences", F.lit(0)))
 
 
 def frequent_phrases(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
     """The fallback: 1-3-grams of plain words that are not all stop words, scored by count * (ln(N / (df + 1)) + 1)."""
     stop = sorted({*fixed.FALLBACK_STOP_WORDS, *fixed.GENERIC_WORDS})
-    words = F.filter(F.split(T.squeezed(F.lower("text")), " "), lambda w: w != "")
-    grams = docs.select("doc_id", F.filter(T.ngrams(words), lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(stop))).alias("terms"))
-    score = F.round(F.col("total") * (F.log(F.lit(float(grams.count())) / (F.col("df") + 1)) + 1), 4)
-    return counted(grams).filter(F.col("df") >= min_df).select("phrase", score.alias("tfidf_score"), F.col("df").alias("doc_freq"), F.col("total").alias("total_occurrences")).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase").limit(top_n)
+    with grams.held(_plain_words(docs)) as words:
+        n = words.count()
+        found = grams.most_frequent(words, top_n, "df", min_df, lambda p, df: not set(p) <= set(stop))
+    if found is None:
+        plain = F.filter(F.split(T.squeezed(F.lower("text")), " "), lambda w: w != "")
+        some = counted(docs.select("doc_id", F.filter(T.ngrams(plain), lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(stop))).alias("terms")))
+    else:
+        some = docs.sparkSession.createDataFrame([(" ".join(p), df, total) for p, df, total in found], "phrase string, df bigint, total bigint")
+    score = F.round(F.col("total") * (F.log(F.lit(float(n)) / (F.col("df") + 1)) + 1), 4)
+    return some.filter(F.col("df") >= min_df).select("phrase", score.alias("tfidf_score"), F.col("df").alias("doc_freq"), F.col("total").alias("total_occurrences")).orderBy(F.desc("doc_freq"), F.desc("tfidf_score"), "phrase").limit(top_n)
 
 
 def noun_phrases(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
     """phrase, doc_freq, total_occurrences, root_word: words with a noun's ending, and pairs that start with an adjective or end so."""
-    words = F.filter(F.split(T.squeezed(F.lower("text")), " "), lambda w: w != "")
+    found = grams.noun_counts(_plain_words(docs), fixed.ADJECTIVES, fixed.NOUN_SUFFIXES)
+    best = found.filter((F.col("doc_freq") >= min_df) & (F.length("phrase") >= 3)).orderBy(F.desc("doc_freq"), F.desc("total_occurrences"), "phrase").limit(top_n)
+    return _local(best).withColumn("root_word", F.element_at(F.split("phrase", " "), -1))
 
-    def at(w: Column, i: Column) -> Column:
-        a, b = w[i], F.try_element_at(w, i + 2)
-        single = F.when((F.length(a) >= 4) & T.has_suffix(a), F.struct(a.alias("p"), F.lit(1).alias("n")))
-        pair = F.when(b.isNotNull() & (a.isin(fixed.ADJECTIVES) | T.has_suffix(b)), F.struct(F.concat(a, F.lit(" "), b).alias("p"), F.when(T.has_suffix(a) & T.has_suffix(b), 2).otherwise(1).alias("n")))
-        return F.array(single, pair)
 
-    found = docs.select("doc_id", T.let(words, lambda w: F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: at(w, i))), lambda s: s.isNotNull())).alias("f"))
-    marks = T.let(F.col("f"), lambda f: F.concat(F.transform(F.array_distinct(F.transform(f, lambda s: s["p"])), lambda p: F.struct(p.alias("p"), F.lit(1).alias("d"), F.lit(0).alias("n"))), F.transform(f, lambda s: F.struct(s["p"].alias("p"), F.lit(0).alias("d"), s["n"].alias("n")))))
-    counted = found.select(F.explode(marks).alias("m")).groupBy(F.col("m.p").alias("phrase")).agg(F.sum("m.d").alias("doc_freq"), F.sum("m.n").alias("total_occurrences"))
-    best = counted.filter((F.col("doc_freq") >= min_df) & (F.length("phrase") >= 3)).orderBy(F.desc("doc_freq"), F.desc("total_occurrences"), "phrase").limit(top_n)
-    return best.withColumn("root_word", F.element_at(F.split("phrase", " "), -1))
+def united(docs: DataFrame, top_n: int = 200, min_df: int = 2) -> DataFrame:
+    """TF-IDF phrases and noun phrases of a corpus, the texts cleaned once for both."""
+    with grams.held(docs) as texts:
+        return union_of_sources(tfidf(texts, top_n, min_df), noun_phrases(texts, top_n, min_df))
 
 
 def union_of_sources(terms: DataFrame, nouns: DataFrame) -> DataFrame:
@@ -150,8 +171,9 @@ def ranked(phrases: DataFrame, top_n: int | None = None) -> DataFrame:
 
 def analysed(df: DataFrame, top_n: int = 200, min_df: int = 2, id_col: str = "doc_id", text_col: str = "text", brands: list[str] = ()) -> DataFrame:
     """The whole phrase pipeline over raw texts."""
-    docs = corpus(df, id_col, text_col, brands)
-    return ranked(with_importance(merged_variants(union_of_sources(phrases_of(docs, top_n, min_df), noun_phrases(docs, top_n, min_df)))), top_n)
+    with grams.held(corpus(df, id_col, text_col, brands)) as docs:
+        both = union_of_sources(phrases_of(docs, top_n, min_df), noun_phrases(docs, top_n, min_df))
+    return ranked(with_importance(merged_variants(both)), top_n)
 
 
 def corpus_sizes(products: DataFrame, docs: DataFrame) -> DataFrame:

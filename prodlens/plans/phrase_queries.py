@@ -21,8 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _important(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return P.with_importance(P.merged_variants(P.union_of_sources(P.tfidf(docs), P.noun_phrases(docs))))
+    return P.with_importance(P.merged_variants(P.united(_docs(spark, sf_dir))))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +57,11 @@ DEFINED = {
         f"with documents as (select r_regionkey as doc_id, 'steel kettle ' || lower(r_name) as text from region where r_regionkey < 2), {FREQUENT.removeprefix('with ')}",
     ),
     "corpus_sizes": (lambda s, d: P.corpus_sizes(table(s, d, "documents"), _docs(s, d)), f"with {S.corpus()} select (select count(*) from documents) as products_analyzed, count(*) as corpus_size from corpus"),
-    "vocab_cap": (lambda s, d: P.vocabulary(P._terms(_docs(s, d), fixed.STOP_WORDS), 2, 0.85, 5000)[0], f"with {S.tfidf()} select phrase, df, total::bigint as total from voc"),
+    "vocab_cap": (lambda s, d: P.vocabulary(_docs(s, d), 2, 0.85, 5000)[0], f"with {S.tfidf()} select phrase, df, total::bigint as total from voc"),
     "noun_phrases_heuristic": (lambda s, d: P.noun_phrases(_docs(s, d)), f"with {S.corpus()}, {S.nouns()} select *, string_split(phrase, ' ')[-1] as root_word from noun"),
-    "phrase_merge": (lambda s, d: P.union_of_sources(P.tfidf(_docs(s, d)), P.noun_phrases(_docs(s, d))), f"with {S.merged()} select * from united"),
+    "phrase_merge": (lambda s, d: P.united(_docs(s, d)), f"with {S.merged()} select * from united"),
     "phrase_roots": (lambda s, d: table(s, d, "part").select("p_partkey", T.phrase_root(F.concat(F.lower("p_name"), F.lit(" series boxes glasses pressing pressed ties boxed"))).alias("root")), f"select p_partkey, {S.root("lower(p_name) || ' series boxes glasses pressing pressed ties boxed'")} as root from part"),
-    "phrase_variants": (lambda s, d: P.merged_variants(P.union_of_sources(P.tfidf(_docs(s, d)), P.noun_phrases(_docs(s, d)))), f"with {S.merged()} select * from variants"),
+    "phrase_variants": (lambda s, d: P.merged_variants(P.united(_docs(s, d))), f"with {S.merged()} select * from variants"),
     "importance_rank": (lambda s, d: P.ranked(_important(s, d), 200).select(*COLUMNS), f"with {S.merged()} select {', '.join(COLUMNS)} from important order by importance_score desc, key limit 200"),
     "importance_buckets": (
         lambda s, d: P.buckets(_important(s, d)).select("bucket", "pos", "phrase", "importance_score"),
