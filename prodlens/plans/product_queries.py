@@ -178,7 +178,8 @@ OPENING = f"{TITLE} of steel for every kitchen with a long handle and lid "
 
 def _synthetic_pages(s, d, kind=None):
     """A page for each document, with its whole text in JSON-LD, a script, a description block or metadata: of one kind, or by turns."""
-    body = F.concat(F.lit(OPENING), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " "))
+    # all but [A-Za-z ], which Java finds several times faster by the ranges than by their complement
+    body = F.concat(F.lit(OPENING), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x1f!-@\[-`{-\x{10ffff}]", " "))
     turn = F.col("doc_id") % 4 if kind is None else F.lit(kind)
     head, h1 = f"<html><head><title>{TITLE}</title>", f"<h1>{TITLE}</h1>"
     page = lambda before, after: F.concat(F.lit(head + before), body, F.lit(after))

@@ -1,9 +1,12 @@
 """The page ladder on hand-made pages."""
 
+import re
+
 import pytest
 
 from prodlens.html.dom import parse
-from prodlens.html.extract import Options, clip, extract, heading_score, relevant
+from prodlens.html.extract import Options, clip, extract, heading_score, relevant, squeeze
+from prodlens.plans import product_queries
 
 LONG = "The acme kettle boils water quickly, keeps it warm for hours, and pours without a drip every time."
 
@@ -47,3 +50,20 @@ def test_scores_and_clipping():
     assert heading_score("description") == 1.0 and heading_score("zzz") == 0.0
     assert clip("a  b " * 100, 10) == "a b a b a…"
     assert len(extract(f'<meta name="description" content="{"word " * 300}">', Options(max_chars=100))[2]) <= 100
+
+
+def test_synthetic_pages_hold_letters_and_spaces_alone(spark, tmp_path):
+    every = "".join(map(chr, [*range(0x00, 0xD800), *range(0xE000, 0x10000), 0x1F600, 0x10FFFF]))
+    spark.createDataFrame([(2, every), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.html for r in product_queries._synthetic_pages(spark, str(tmp_path)).collect()}
+    assert product_queries.OPENING + re.sub("[^A-Za-z ]", " ", every) + "</p>" in got[2]
+    assert product_queries.OPENING + "</p>" in got[6]
+
+
+def test_squeeze_takes_all_white_space():
+    every = "".join(map(chr, range(0x10000)))
+    assert squeeze(every) == re.sub(r"\s+", " ", every).strip()
+
+
+def test_title_entities_are_resolved_as_html_has_it():
+    assert extract("<title>a &quot;b&quot; c&amp;d &amp</title><p>x</p>")[0] == 'a "b" c&d &'
