@@ -38,7 +38,9 @@ def measured(text: Column, patterns: list[str], kind: str, unit: callable, most:
     """Value and unit of each match, patterns in order, repeats left out."""
     each = []
     for p in patterns:
-        groups = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(f"({p})"), g).alias(n) for g, n in ((1, "m"), (2, "v"), (3, "u"))))
+        # The text is searched once. The patterns assert nothing about what surrounds them, so a match alone gives the same groups.
+        parts = lambda m: F.struct(m.alias("m"), F.regexp_extract(m, p, 1).alias("v"), F.regexp_extract(m, p, 2).alias("u"))  # noqa: B023 (called here)
+        groups = F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), parts)
         each.append(F.transform(groups, lambda g: _entity(F.concat(g["v"], unit(g["u"])), kind, g["m"], g["v"], unit(g["u"]))))
     return first_of_each(F.flatten(F.array(*each)), most)
 
@@ -122,7 +124,7 @@ def from_dictionary(text: Column, entries: list[tuple], kind: str, most: int, ex
         name, aliases = entry[1], list(entry[2])
         options, found_by = [], []
         for n in [name, *aliases]:
-            found = text.rlike(_whole_word(n)) if kind == "material" and n in fixed.WHOLE_WORD_MATERIALS else F.contains(text, F.lit(n))
+            found = F.contains(text, F.lit(n)) & text.rlike(_whole_word(n)) if kind == "material" and n in fixed.WHOLE_WORD_MATERIALS else F.contains(text, F.lit(n))
             if kind == "material":
                 found = found & ~in_care_context(n, text)
             for earlier, used in by:
@@ -133,7 +135,8 @@ def from_dictionary(text: Column, entries: list[tuple], kind: str, most: int, ex
         one, used = F.coalesce(*options), F.coalesce(*found_by)
         if excluded is not None:
             barred = F.arrays_overlap(excluded, T.literals([name, *aliases]))
-            one, used = F.when(~barred, one), F.when(~barred, used)
+            # few entries are found, and only for these it matters whether they are barred
+            one, used = F.when(one.isNotNull() & ~barred, one), F.when(used.isNotNull() & ~barred, used)
         each.append(one)
         by.append((entry, used))
     return F.slice(F.filter(F.array(*each), lambda e: e.isNotNull()), 1, most)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from prodlens.functions import fixed_values as fixed
 from prodlens.functions import text as T
 from prodlens.operators import entities as E
 from prodlens.streaming import dedupe
@@ -53,3 +54,9 @@ def test_cleaning_is_idempotent(spark, raw):
 def test_stream_dedupe_plans(spark):
     stream = spark.readStream.format("rate").load()
     assert dedupe.deduplicated(stream, "value", "timestamp").isStreaming
+
+
+def test_measured_rules_search_the_text_once_a_pattern(spark):
+    df = spark.createDataFrame([("5 mm x 6 mm x 7 mm, height: 10cm, 3.5 inches wide, 2m",)], "t string").select(E.dimensions(F.col("t")).alias("e"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == len(fixed.DIMENSION_PATTERNS)
+    assert [(e.name, e.evidence, e.value, e.unit) for e in df.first().e] == [("5mm", "5 mm x 6 mm x 7 mm", "5", "mm"), ("6mm", "6 mm ", "6", "mm"), ("7mm", "7 mm", "7", "mm"), ("10cm", "10cm", "10", "cm"), ("3.5inch", "3.5 inch", "3.5", "inch")]
